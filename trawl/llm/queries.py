@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import html, langid, quality, tokens, toxicity
+from trawl.llm import html, langid, quality, tokens, toxicity, wavelet
 from trawl.llm.common import small_batches, table
 
 
@@ -32,6 +32,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return wavelet.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
 }
 ORACLES: dict[str, str] = {}
