@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import html, langid, quality, tokens, toxicity, wavelet
+from trawl.llm import decontaminate, html, langid, quality, tokens, toxicity, wavelet
 from trawl.llm.common import small_batches, table
 
 
@@ -37,6 +37,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
 }
 ORACLES: dict[str, str] = {}
