@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import decontaminate, html, langid, mixing, quality, tokens, toxicity, wavelet
-from trawl.llm.common import small_batches, table
+from trawl.llm import chat, decontaminate, html, langid, mixing, quality, tokens, toxicity, wavelet
+from trawl.llm.common import settle, small_batches, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(docs, langid.train(docs))
 
 
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = chat.with_check(table(spark, sf_dir, "conversations"))
+    return chat.read_back(settle(chat.windows(conversations), "windows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
@@ -61,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_chat_windows": op9_chat_windows,
 }
 ORACLES: dict[str, str] = {}
