@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import chat, decontaminate, html, langid, mixing, quality, tokens, toxicity, wavelet
+from trawl.llm import chat, decontaminate, html, langid, mixing, neardup, quality, tokens, toxicity, wavelet
 from trawl.llm.common import settle, small_batches, table
 
 
@@ -57,6 +57,11 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(settle(chat.windows(conversations), "windows"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 250)
+    return neardup.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_chat_windows": op9_chat_windows,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
