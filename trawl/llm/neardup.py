@@ -7,9 +7,10 @@
    enumerated: a class has a key for each chunk and each position left out. Such a pair shares a key.
 3. First pass: in each bucket of a key every class is paired with the least one; pairs under the distance are
    confirmed on full sets, and what is linked becomes one component. Second pass: in buckets that still hold
-   several components, all pairs across them are compared by signature, in blocks, and those under the distance
-   are confirmed. Pairs within a component can't change the result. So no link between signatures under the distance
-   is missed, and groups of near copies aren't expanded into all pairs.
+   several components, all pairs across them are compared by signature, in blocks; what is under the distance hangs
+   together in loose groups (only enough pairs to hold them together leave a task), and the members of a loose group
+   are compared by their full sets in cells of bounded size. Pairs within a component can't change the result. So no
+   link between signatures under the distance is missed, and no group is expanded into rows of pairs.
 
 At the true similarity of 0.75, 68 positions differ in 17 on average, with a deviation of 3.6; DISTANCE lies 4.6
 deviations above. A second sketch (the least hash in each of 256 ranges) spares most confirmations of pairs that lie
@@ -40,6 +41,8 @@ RANGES = 256
 SKETCH_LEAST = 0.6
 #: Members of a bucket that a task compares at once; larger buckets are cut into blocks of about so many.
 BLOCK = 3000
+#: Members of a loose group, and shingles of theirs, that a task compares at once, about.
+MEMBERS, SHINGLES = 1000, 4_000_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -211,9 +214,27 @@ def _first_shared(eq: np.ndarray) -> np.ndarray:
     return shared.reshape(len(eq), -1).argmax(axis=1)
 
 
-def cross_pairs(key: int, split: bool, comp: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, sig: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell that are near enough, across components, each in the first bucket that holds it. split: only
-    pairs of both sides."""
+def _forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the pairs join parts that those before them left apart."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    fine = np.zeros(len(left), bool)
+    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x], fine[k] = y, True
+    return fine
+
+
+def bucket_forest(key: int, split: bool, comp: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, sig: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold together what is near enough across components in a cell of a bucket; of several buckets that
+    hold a pair, the first looks at it. split: only pairs of both sides."""
     number = key >> 48
     left, right = [], []
     step = max(1, 2_000_000 // max(1, len(cls)))
@@ -231,53 +252,116 @@ def cross_pairs(key: int, split: bool, comp: np.ndarray, side: np.ndarray, cls:
             fine = near_enough(sig[x], sig[y], sketch[x], sketch[y], n[x], n[y])
             x, y = x[fine], y[fine]
             own = _first_shared(sig[x] == sig[y]) == number if len(x) else np.zeros(0, bool)
-            left.append(cls[x[own]])
-            right.append(cls[y[own]])
+            left.append(x[own])
+            right.append(y[own])
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+    x, y = (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    kept = _forest(x, y)
+    return cls[x[kept]], cls[y[kept]]
 
 
-def _second_pass(classes: DataFrame, active: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidates (a, b) across components in buckets that hold several of them."""
-    some = settle(classes.join(active, "cls", "left_semi").join(comps.select(F.col("node").alias("c"), "component"), F.col("cls") == F.col("c"), "left").select("cls", "sig", "sketch", "n", F.coalesce("component", "cls").alias("comp")), "active")
-    keys = _keys(some).join(some.select(F.col("cls").alias("c"), "comp"), F.col("cls") == F.col("c")).select("key", "cls", "comp")
-    mixed = keys.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where(F.col("x") != F.col("y")).select(F.col("key").alias("k"), "members")
-    members = keys.join(mixed, F.col("key") == F.col("k")).select("key", "cls", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    # a large bucket's members are dealt to blocks, and every pair of blocks is a cell of its own
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    cells = members.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", "cls", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    rows = cells.join(some.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("key", "i", "j", "side", "cls", "comp", "n", "sig", "sketch")
+def cell_links(split: bool, comp: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links across components among a cell's members, by their full sets; none between what earlier links joined.
+    split: only pairs of both sides."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    label = np.unique(comp, return_inverse=True)[1]
+    left, right = [], []
+    for a in range(len(sets) - 1):
+        other = np.arange(a + 1, len(sets))
+        other = other[(label[other] != label[a]) & (100 * np.minimum(n[other], n[a]) >= SIMILAR * np.maximum(n[other], n[a]))]
+        if split:
+            other = other[side[other] != side[a]]
+        own = ids[starts[a] : starts[a] + sizes[a]]
+        mark[own] = 1
+        for at in range(0, len(other), 500):  # what is gathered at once stays small
+            some = other[at : at + 500]
+            held = np.concatenate([ids[starts[b] : starts[b] + sizes[b]] for b in some.tolist()])
+            both = np.add.reduceat(mark[held], np.cumsum(sizes[some]) - sizes[some])
+            for b in some[100 * both >= SIMILAR * (sizes[a] + sizes[some] - both)].tolist():
+                if label[a] != label[b]:
+                    left.append(a)
+                    right.append(b)
+                    label[label == label[b]] = label[a]
+        mark[own] = 0
+    return left, right
+
+
+def _by_cell(rows: DataFrame, keys: list[str], look, schema: str) -> DataFrame:
+    """Rows of each cell (equal keys) to look(key values, table), a batch or None; cells are read one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            if whole.num_rows < 2:
-                return
-            col = lambda c: whole.column(c).to_numpy()
-            bins = lambda c, w, t: np.frombuffer(b"".join(whole.column(c).to_pylist()), t).reshape(-1, w)
-            a, b = cross_pairs(last[0], last[1] != last[2], col("comp"), col("side"), col("cls"), col("n"), bins("sig", POSITIONS, np.uint16), bins("sketch", RANGES, np.uint8))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(len(keys))], axis=1)
             edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
-                if last is not None and tuple(at[a]) != last:
-                    yield from finish()
+                now = tuple(at[a].tolist())
+                if last is not None and now != last:
+                    if (made := look(last, pa.Table.from_batches(held).combine_chunks())) is not None:
+                        yield made
                     held = []
-                last = tuple(at[a].tolist())
+                last = now
                 held.append(batch.slice(a, b - a))
-        if held:
-            yield from finish()
+        if held and (made := look(last, pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield made
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInArrow(run, schema)
+
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]) if len(a) else None
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows with blocks: members are dealt to as many blocks, and every pair of blocks is a cell (i, j) of its own."""
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    made = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return made.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other", "blocks")
+
+
+def _loose_pairs(classes: DataFrame, active: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that hold together what is near enough across components in buckets with several of them."""
+    some = settle(classes.join(active, "cls", "left_semi").join(comps.select(F.col("node").alias("c"), "component"), F.col("cls") == F.col("c"), "left").select("cls", "sig", "sketch", "n", F.coalesce("component", "cls").alias("comp")), "active")
+    keys = _keys(some).join(some.select(F.col("cls").alias("c"), "comp"), F.col("cls") == F.col("c")).select("key", "cls", "comp")
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where(F.col("x") != F.col("y")).select(F.col("key").alias("k"), "members")
+    members = keys.join(mixed, F.col("key") == F.col("k")).select("key", "cls", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = _cells(members).join(some.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("key", "i", "j", "side", "cls", "comp", "n", "sig", "sketch")
+
+    def look(at: tuple, whole: pa.Table) -> pa.RecordBatch | None:
+        if whole.num_rows < 2:
+            return None
+        col = lambda c: whole.column(c).to_numpy()
+        bins = lambda c, w, t: np.frombuffer(b"".join(whole.column(c).to_pylist()), t).reshape(-1, w)
+        return _pairs_batch(*bucket_forest(at[0], at[1] != at[2], col("comp"), col("side"), col("cls"), col("n"), bins("sig", POSITIONS, np.uint16), bins("sketch", RANGES, np.uint8)))
+
+    return _by_cell(rows, ["key", "i", "j"], look, "a long, b long")
+
+
+def _second_pass(docs: DataFrame, classes: DataFrame, active: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) across components. What is near enough hangs together in loose groups; each group's members are
+    compared by their full sets, where they are, in cells of bounded size."""
+    groups = components(_loose_pairs(classes, active, comps).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sets = _sets(docs, classes, groups.select(F.col("node").alias("cls")))
+    rows = groups.withColumnsRenamed({"node": "cls", "component": "loose"}).join(classes.select("cls", "n"), "cls").join(comps.select(F.col("node").alias("c"), "component"), F.col("cls") == F.col("c"), "left").select("cls", "loose", "n", F.coalesce("component", "cls").alias("comp"))
+    rows = settle(rows, "loose")
+    sizes = rows.groupBy("loose").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("loose", "l")
+    cells = _cells(rows.join(sizes, F.col("loose") == F.col("l")).drop("l")).join(sets.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("loose", "i", "j", "side", "cls", "comp", "n", "set")
+
+    def look(at: tuple, whole: pa.Table) -> pa.RecordBatch | None:
+        if whole.num_rows < 2:
+            return None
+        col = lambda c: whole.column(c).to_numpy()
+        cls = col("cls")
+        left, right = cell_links(at[1] != at[2], col("comp"), col("side"), col("n"), [np.frombuffer(x, np.uint64) for x in whole.column("set").to_pylist()])
+        return _pairs_batch(cls[left], cls[right])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls").mapInArrow(run, "a long, b long")
+    return _by_cell(cells, ["loose", "i", "j"], look, "a long, b long")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,8 +385,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = settle(_confirm(near, _sets(docs, classes, ends(near))), "confirmed")
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # second pass: pairs across components
-    more = settle(_second_pass(classes, active, comps).join(near, ["a", "b"], "left_anti"), "more")
-    again = settle(_confirm(more, _sets(docs, classes, ends(more))), "again")
+    again = settle(_second_pass(docs, classes, active, comps), "again")
     comps = components(links.unionByName(again).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "rep").join(comps, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumnRenamed("comp", "p")
