@@ -27,6 +27,12 @@ def count_words(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD_SQL)), F.lit(0)).cast("long")
 
 
+def _draw(id_col: str, text_col: str, seed: int) -> Column:
+    """A random whole number below 2^52 for a row, by its id and text: the same in every run, and in SQL."""
+    parts = (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def weigh(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """sources (source, source_size) with weight: the weights in turn, sources by code point, null last.
 
@@ -71,8 +77,7 @@ def mix(
     empty table gives no rows. At most `most` copies are taken of a row.
     """
     weight = F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance else F.lit(1.0)
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(seed))
-    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), weight.alias("chance"), F.xxhash64(F.col(id_col), text_hash, F.lit(seed)).alias("hash")), "sizes")
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), weight.alias("chance"), _draw(id_col, text_col, seed).alias("hash")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("chance")).alias("pull"))
     per_source = settle(per_source, "per-source")
     goals = settle(targets(weigh(per_source.select("source", "source_size"), weights), share, most), "targets")
@@ -88,7 +93,7 @@ def _sample(rows: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     held = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).withColumn("m", wanted).drop("s", "pull")
     # guards a whole number against the last bit of a division
     held = held.withColumn("certain", F.floor(F.col("m") + 1e-9)).withColumn("part", F.greatest(F.col("m") - F.col("certain"), F.lit(0.0)))
-    u = (F.pmod(F.col("hash"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.col("hash") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) * ((1 - F.col("part")) / F.col("part"))
     # a document at `most` copies, or without words, isn't in the order; the rank lies from 0 to 1
     ranked = held.withColumn("rank", F.when((F.col("certain") + 1 <= most) & (F.col("size") > 0) & (F.col("part") > 0), odds / (1 + odds)))
@@ -130,8 +135,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     inner = docs.select(*(F.col(n).alias(f"_c{i}") for i, n in enumerate(docs.columns)), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
     plan = mix(inner, id_col="_id", text_col="_text", source_col="_source", **options)
     # equal rows (id, text and source alike) have equal hashes; their copies are shared out evenly
-    seed = options.get("seed", 1)
-    key = F.xxhash64(F.col("_id"), F.xxhash64(F.coalesce(F.col("_text"), F.lit("")), F.lit(seed)), F.lit(seed))
+    key = _draw("_id", "_text", options.get("seed", 1))
     per_row = plan.groupBy(F.col("_id").alias("i"), F.col("hash").alias("h"), F.col("source").alias("s")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     joined = inner.withColumn("_hash", key).join(per_row, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")) & F.col("_source").eqNullSafe(F.col("s")))
     number = F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy("_hash"))

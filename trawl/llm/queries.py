@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm import chat, decontaminate, html, langid, mixing, neardup, quality, tokens, toxicity, wavelet
 from trawl.llm.common import settle, small_batches, table
+from trawl.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_windows": op9_chat_windows,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
