@@ -6,7 +6,18 @@ import os
 import sys
 
 VERSION = "0.1.0"
-USAGE = "usage: trawl [FLAGS] PATTERN [PATH...]\nsearch recursively for PATTERN starting at each PATH, or \".\" when omitted; see README.md for the flags\n"
+USAGE = """usage: trawl [FLAGS] PATTERN [PATH...]
+Searches the files below each PATH (the current folder if there is none) for PATTERN.
+
+pattern   -e PATTERN (may be repeated)  -F literal  -i ignore case  -S smart case  -U multi-line  --multiline-dotall
+lines     -v those without a match  -m N at most N  -A N  -B N  -C N context  -o matched text only  -r TEXT replacement
+report    -c counts  -l files with a match  -L files without  --json  --stats  -q exit code only  --files list files
+form      -H/--no-filename  -n/--no-line-number  --column/--no-column  --heading  --null
+files     --hidden  --follow  --max-depth N  -g GLOB  --iglob GLOB  -t TYPE  -T TYPE  --type-add NAME:GLOBS  --type-list
+          --ignore-file FILE  --no-ignore  --no-ignore-vcs  --no-ignore-parent  -u, -uu, -uuu  --sort KEY  --sortr KEY
+content   -z gzip  --pre COMMAND  --pre-glob GLOB  -E ENCODING  --text  --binary
+other     --config-path FILE  --no-config  -h  -V; --buffered, --mmap and -j N are taken and change nothing
+"""
 
 
 def main(argv: list[str]) -> int:

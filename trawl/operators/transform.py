@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import gzip
 import re
 import subprocess
@@ -18,10 +19,25 @@ CONTROLS = re.compile(rb"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 MOST_CONTROLS = 8
 
 
+# How problems with a file are told, and which of the system's errors are such problems.
+MESSAGES = {
+    "FileNotFound": "file not found", "AccessDenied": "access denied", "NotDir": "not a directory", "NameTooLong": "name too long", "SymLinkLoop": "symlink loop", "InvalidCompressedInput": "invalid compressed input",
+    "PreprocessorFailed": "preprocessor exited with non-zero status", "PreprocessorSignaled": "preprocessor terminated by signal", "PreprocessorTooMuchOutput": "preprocessor output exceeded limit",
+}
+SYSTEM = {errno.ENOENT: "FileNotFound", errno.EACCES: "AccessDenied", errno.EPERM: "AccessDenied", errno.ENOTDIR: "NotDir", errno.ENAMETOOLONG: "NameTooLong", errno.ELOOP: "SymLinkLoop"}
+
+
 class ContentError(ValueError):
     """A file that is passed over with a warning."""
 
 
+def problem(e: OSError) -> str:
+    """The kind of a system error that a search passes over; others end it."""
+    if e.errno not in SYSTEM:
+        raise e
+    return SYSTEM[e.errno]
+
+
 def gunzip(data: bytes) -> bytes:
     """Data as it is if it isn't gzip."""
     if not data.startswith(b"\x1f\x8b"):

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.operators import paths as path_ops
+from trawl.operators.transform import MESSAGES
 from trawl.plans.options import Options, parse, with_config
-from trawl.plans.report import FileReporter
+from trawl.plans.report import FileReporter, elapsed
 from trawl.sources import corpus
 
 OUTCOME = "root_ix int, path string, mtime_ns long, atime_ns long, printed binary, matched boolean, matched_lines long, matches long, searched_bytes long, searched boolean, skipped_binary boolean, warning string"
@@ -100,7 +101,7 @@ def stats_text(stats: dict[str, int], seconds: float) -> str:
 
 def _print(o: Options, found: DataFrame, always: bool = False) -> RunResult:
     """Runs the plan. Output comes row by row, in order; only what is printed reaches the driver."""
-    began = time.monotonic()
+    began, began_ns = time.monotonic(), time.monotonic_ns()
     if o.quiet and not o.stats and not o.json:
         return RunResult(0 if not found.where("matched").isEmpty() else 1)
     out: list[bytes] = []
@@ -117,15 +118,17 @@ def _print(o: Options, found: DataFrame, always: bool = False) -> RunResult:
         stats["skipped_binary_files"] += r["skipped_binary"]
         if r["warning"] is not None:
             stats["warnings_emitted"] += 1
-            errors.append(f"warning: skipping '{r['path']}': {r['warning']}\n".encode("utf-8", "surrogateescape"))
+            what, _, kind = r["warning"].rpartition(" ")
+            errors.append(f"warning: skipping {what and what + ' '}{r['path']}: {MESSAGES.get(kind, kind)}\n".encode("utf-8", "surrogateescape"))
         if r["printed"] and (r["matched"] or always):
             if o.heading and o.mode == "lines" and out:
                 out.append(b"\n")
             out.append(bytes(r["printed"]))
             stats["printed_bytes"] += len(r["printed"])
     if o.json and o.mode == "lines":
-        s = {"searches": stats["searched_files"], "searches_with_match": stats["matched_files"], "bytes_searched": stats["searched_bytes"], "bytes_printed": stats["printed_bytes"], "matched_lines": stats["matched_lines"], "matches": stats["matches"]}
-        out.append(f'{{"type":"summary","data":{{"stats":{json.dumps(s, separators=(",", ":"))}}}}}\n'.encode())
+        taken = elapsed(time.monotonic_ns() - began_ns)
+        s = {"elapsed": taken, "searches": stats["searched_files"], "searches_with_match": stats["matched_files"], "bytes_searched": stats["searched_bytes"], "bytes_printed": stats["printed_bytes"], "matched_lines": stats["matched_lines"], "matches": stats["matches"]}
+        out.append(f'{{"type":"summary","data":{{"elapsed_total":{json.dumps(taken, separators=(",", ":"))},"stats":{json.dumps(s, separators=(",", ":"))}}}}}\n'.encode())
     if o.quiet:
         out = [x for x in out if x.startswith(b'{"type":"summary"')]
     if o.stats and o.mode not in ("with", "without"):

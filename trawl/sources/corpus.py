@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from trawl.operators.paths import relative
+from trawl.operators.transform import problem
 
 LISTING = "root_ix int, path string, rel_path string, depth int, size long, mtime_ns long, atime_ns long, warning string"
 #: Bytes of files that a task reads, about.
@@ -32,15 +33,15 @@ def walk(root: str, hidden: bool = False, follow: bool = False, max_depth: int |
         try:
             entries = sorted(os.scandir(path), key=lambda e: e.name)
         except OSError as e:
-            yield path, depth, None, type(e).__name__
+            yield path, depth, None, f"directory {problem(e)}"
             return
         for e in entries:
             if e.name.startswith(".") and not hidden or e.is_symlink() and not follow:
                 continue
             try:
                 status = e.stat()
-            except OSError as problem:
-                yield e.path, depth + 1, None, type(problem).__name__
+            except OSError as trouble:
+                yield e.path, depth + 1, None, problem(trouble)
                 continue
             if stat_.S_ISDIR(status.st_mode):
                 if max_depth is None or depth + 1 <= max_depth:
@@ -89,7 +90,7 @@ class CorpusReader(DataSourceReader):
                     with open(row[1], "rb") as f:
                         content = f.read()
                 except OSError as e:
-                    warning = type(e).__name__
+                    warning = problem(e)
             yield (*row[:7], warning, content)
 
 
@@ -139,7 +140,7 @@ def with_content(listed: DataFrame) -> DataFrame:
                         with open(path, "rb") as f:
                             content = f.read()
                     except OSError as e:
-                        warning = type(e).__name__
+                        warning = problem(e)
                 contents.append(content)
                 warnings.append(warning)
             yield frame.assign(warning=warnings, content=contents)
