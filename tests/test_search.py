@@ -187,6 +187,14 @@ def test_native_and_exact_agree(spark, sf_dir):
     assert sorted(one) == sorted(lines.count_lines(docs.repartition(7), "doc_id", "text", compile_pattern("the")).collect())
 
 
+def test_exact_on_binary(spark):
+    rows = [(1, b"a\xffb"), (2, b"axb"), (3, b"ab"), (4, None), (5, b"")]
+    df = spark.createDataFrame([(i, c and bytearray(c)) for i, c in rows], "p int, c binary")
+    found = exact.matches(df, "p", "c", compile_pattern("a.b")).select("path", "match_start", "match_end").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 3), (2, 0, 3)]
+    assert exact.matches(df, "p", "c", compile_pattern("^$")).select("path").collect() == [(5,)]
+
+
 def test_not_native():
     for p in ("a*", "^a", "[^a]b", "(?:ab)+"):
         with pytest.raises(lines.NotNative):
@@ -207,6 +215,11 @@ def test_data_source(spark, tmp_path):
     spark.dataSource.register(corpus.CorpusSource)
     df = spark.read.format("trawl_corpus").option("paths", str(tmp_path)).load()
     assert [(r.rel_path, bytes(r.content)) for r in df.collect()] == [("_a", b"needle")]
+    (tmp_path / "c.txt").write_bytes(b"y")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("trawl_corpus").option("paths", str(tmp_path)).option("hidden", "true").option("pushdown", "true").load()
+    assert [r.rel_path for r in df.where("rel_path LIKE '%.txt' AND depth = 1 AND size < 5").collect()] == ["c.txt"]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_table_function(spark):

@@ -22,8 +22,13 @@ BLOCKS = "start_line long, end_line long, block binary, submatches array<struct<
 
 
 def _candidates(df: DataFrame, content: str, pattern: Pattern) -> DataFrame:
+    """Contents that may match: Java's engine tells for valid UTF-8, as existence doesn't depend on the engine."""
+    data = F.col(content)
     if len(pattern.required) > 1:
-        return df.where(F.contains(F.col(content).cast("binary"), F.lit(pattern.required.encode())))
+        df = df.where(F.contains(data.cast("binary"), F.lit(pattern.required.encode())))
+    if not pattern.heavy and not pattern.nullable and pattern.literal is None:
+        found = data.cast("string").rlike(pattern.java)
+        df = df.where(found if df.schema[content].dataType.simpleString() == "string" else ~F.is_valid_utf8(data.cast("string")) | found)
     return df
 
 

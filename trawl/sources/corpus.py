@@ -94,8 +94,26 @@ class CorpusReader(DataSourceReader):
             yield (*row[:7], warning, content)
 
 
+class PushingReader(CorpusReader):
+    def pushFilters(self, filters: list) -> Iterator:
+        """Files that conditions on path, rel_path, depth, size or times rule out aren't read."""
+        tests = {
+            "EqualTo": lambda x, v: x == v, "GreaterThan": lambda x, v: x > v, "GreaterThanOrEqual": lambda x, v: x >= v, "LessThan": lambda x, v: x < v, "LessThanOrEqual": lambda x, v: x <= v,
+            "In": lambda x, v: x in v, "StringStartsWith": lambda x, v: x.startswith(v), "StringEndsWith": lambda x, v: x.endswith(v), "StringContains": lambda x, v: v in x,
+        }
+        names = [c.split()[0] for c in LISTING.split(", ")]
+        for f in filters:
+            test = tests.get(type(f).__name__)
+            if test is None or len(f.attribute) != 1 or f.attribute[0] not in names[:-1]:
+                yield f
+                continue
+            at = names.index(f.attribute[0])
+            self.rows = [r for r in self.rows if test(r[at], f.value)]
+
+
 class CorpusSource(DataSource):
-    """spark.read.format("trawl_corpus"): options paths (one a line), hidden, follow, max_depth."""
+    """spark.read.format("trawl_corpus"): options paths (one a line), hidden, follow, max_depth; pushdown, which needs
+    spark.sql.python.filterPushdown.enabled."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,7 +129,7 @@ class CorpusSource(DataSource):
             depth = o.get("max_depth")
             for path, d, status, warning in walk(root, o.get("hidden") == "true", o.get("follow") == "true", int(depth) if depth else None):
                 rows.append((ix, path, relative(path, root), d, status.st_size if status else 0, status.st_mtime_ns if status else 0, status.st_atime_ns if status else 0, warning))
-        return CorpusReader(rows)
+        return PushingReader(rows) if o.get("pushdown") == "true" else CorpusReader(rows)
 
 
 def listing(spark: SparkSession, paths: list[str], hidden: bool = False, follow: bool = False, max_depth: int | None = None) -> DataFrame:
