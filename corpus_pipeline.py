@@ -14,7 +14,7 @@ from trawl.llm import decontaminate, langid, mixing, neardup, wavelet
 from trawl.llm.common import settle, small_batches, table
 
 #: A document whose predicted language has a smaller share of the evidence is rejected.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 TOKENIZER = "byte_bpe_50k.json"
 
 

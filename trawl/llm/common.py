@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from typing import Any
 
 import numpy as np
@@ -36,9 +37,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset,
     as in local tests) a temporary one."""
     sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not (sc.master or "").startswith("local["):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master or ""):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="trawl-")
     if not sc.getCheckpointDir():
@@ -89,22 +90,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def free_memory() -> None:
+    """Gives back what the allocators of this process hold without use. Python workers are kept for later tasks;
+    without this each would keep the most that any task needed."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that frees memory when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return tidied
+
+
 class Memo:
     """A dictionary of bounded size: what wasn't asked for lately goes, a generation at a time."""
 
     def __init__(self, most: int) -> None:
         self.most, self.young, self.old = most, {}, {}
 
-    def fill(self, keys: set[str], make: Any) -> dict:
+    def fill(self, keys: Collection[str], make: Any) -> dict:
         """A dictionary that has all of `keys`; make(list of unseen keys) gives their values."""
         young, old = self.young, self.old
         missing = []
-        for k in keys - young.keys():
-            v = old.get(k)
-            if v is None:
-                missing.append(k)
-            else:
-                young[k] = v
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                else:
+                    young[k] = v
         if missing:
             young.update(zip(missing, make(missing), strict=True))
         if len(young) > self.most:

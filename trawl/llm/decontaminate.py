@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import settle, text_slices
+from trawl.llm.common import settle, text_slices, tidy
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 2_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -210,7 +210,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays(made, names=labels)
 
         made = "_n_words long, _n_hit long, _n_items long, _items_sha256 string" + f", _matches array<{MATCH}>" * longest if last else f"_text string, {state}"
-        now = now.mapInArrow(run, f"{kinds}, {made}")
+        now = now.mapInArrow(tidy(run), f"{kinds}, {made}")
         if not last:
             now = settle(now, "hits")
     now = now.withColumn("_contaminated", (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))

@@ -14,17 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Memo, learnable, text_slices
+from trawl.llm.common import Memo, free_memory, learnable, text_slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAM = 5
 #: The model is fitted on about so many characters of labelled texts for each language (whole rows, by a hash of
 #: the id), and on the languages with the most rows, up to LANGUAGES.
-SAMPLE_CHARS = 2_500_000
+SAMPLE_CHARS = 1_500_000
 LANGUAGES = 256
 #: A word or n-gram seen less often in the sample isn't kept.
 LEAST = 3
-TABLE_ROWS = 300_000
+TABLE_ROWS = 200_000
 KEPT_CHARS = 64
 
 
@@ -48,7 +48,7 @@ def _logs(counts: dict[str, Counter], languages: list[str], least: int) -> tuple
         for x, n in counts[lang].items():
             if x in rows:
                 found[rows[x], j] += n
-    return rows, np.log(found / np.maximum(found.sum(axis=0, keepdims=True), 1e-9)).astype(np.float32) if len(rows) else found.astype(np.float32)
+    return rows, (np.log(found / found.sum(axis=0, keepdims=True)) if len(rows) else found).astype(np.float32)
 
 
 def fit(samples: list[tuple[str, str]], least: int = LEAST) -> LanguageModel:
@@ -81,7 +81,7 @@ def word_score(model: LanguageModel, word: str) -> np.ndarray:
                 total += model.gram_scores[row]
                 n += 1
                 break
-    return total / n if n else total
+    return total / np.float32(n) if n else total
 
 
 def predict(model: LanguageModel, table: Memo, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -92,10 +92,11 @@ def predict(model: LanguageModel, table: Memo, texts: list[str]) -> tuple[list[s
         return ["und"] * len(texts), [0.0] * len(texts)
     distinct = {w for ws in held for w in ws}
     long = [w for w in distinct if len(w) > KEPT_CHARS]
-    known = table.fill(distinct.difference(long), lambda new: [word_score(model, w) for w in new])
+    known = table.fill(distinct.difference(long), lambda new: [word_score(model, w).tobytes() for w in new])
     order = list(distinct)
-    extra = {w: word_score(model, w) for w in long}
-    scores = np.array([known[w] if w in known else extra[w] for w in order], np.float64)
+    extra = {w: word_score(model, w).tobytes() for w in long}
+    rows = b"".join(known[w] if w in known else extra[w] for w in order) if long else b"".join(map(known.__getitem__, order))
+    scores = np.frombuffer(rows, np.float32).reshape(len(order), -1).astype(np.float64)
     place = dict(zip(order, range(len(order)), strict=True))
     codes = np.fromiter((place[w] for ws in held for w in ws), np.int64, int(sizes.sum()))
     full = np.flatnonzero(sizes)
@@ -122,7 +123,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in sizes:
         share = F.when(F.col("g") == r["g"], F.lit(min(1.0, SAMPLE_CHARS / max(1, r["c"])))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col("i"), F.lit(8)), F.lit(1 << 30)) < share * (1 << 30)
-    return fit([(r["g"], r["x"]) for r in rows.where(drawn).select("g", "x").collect()])
+    model = fit([(r["g"], r["x"]) for r in rows.where(drawn).select("g", "x").collect()])
+    free_memory()
+    return model
 
 
 def detect(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -150,7 +153,7 @@ def detect(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
     inner = docs.select(*(F.col(f.name).alias(f"_c{i}") for i, f in enumerate(shown)), text_at)
     schema = ", ".join(f"_c{i} {f.dataType.simpleString()}" for i, f in enumerate(shown)) + ", _lang_pred string, _lang_score double"
-    found = inner.mapInArrow(run, schema)
+    found = inner.mapInArrow(tidy(run), schema)
     back = [F.col(f"_c{i}").alias(f.name) for i, f in enumerate(shown)]
     if keep:
         return found.select(*back, "_lang_pred", "_lang_score")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import mix64, settle, text_slices
+from trawl.llm.common import mix64, settle, text_slices, tidy
 from trawl.llm.graph import components
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def _features(docs: DataFrame, keep_sets: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "cls", *(["set"] if keep_sets else ["sig", "sketch"])])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, cls long, " + ("set binary" if keep_sets else "sig binary, sketch binary"))
+    return docs.mapInArrow(tidy(run), f"id {kind}, n long, cls long, " + ("set binary" if keep_sets else "sig binary, sketch binary"))
 
 
 def _rows(col: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -151,7 +151,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 cls = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cls)], names=["key", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
+    return classes.select("cls", "sig").mapInArrow(tidy(run), "key long, cls long")
 
 
 def near_enough(sig_a: np.ndarray, sig_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def _under_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 fine = near_enough(_rows(c(2), POSITIONS, np.uint16), _rows(c(3), POSITIONS, np.uint16), _rows(c(4), RANGES, np.uint8), _rows(c(5), RANGES, np.uint8), c(6).to_numpy(), c(7).to_numpy())
                 yield pa.RecordBatch.from_arrays([c(0).filter(pa.array(fine)), c(1).filter(pa.array(fine))], names=["a", "b"])
 
-    return joined.select("a", "b", "sig_a", "sig_b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sig_a", "sig_b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 fine.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine, pa.bool_())), batch.column(1).filter(pa.array(fine, pa.bool_()))], names=["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _first_shared(eq: np.ndarray) -> np.ndarray:
@@ -311,7 +311,7 @@ def _by_cell(rows: DataFrame, keys: list[str], look, schema: str) -> DataFrame:
         if held and (made := look(last, pa.Table.from_batches(held).combine_chunks())) is not None:
             yield made
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInArrow(tidy(run), schema)
 
 
 def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:

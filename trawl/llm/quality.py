@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WORD, settle, text_slices
+from trawl.llm.common import WORD, settle, text_slices, tidy
 
 #: Fixed values of the base rules.
 LEAST_WORDS = 50
@@ -88,7 +88,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     inner = docs.select(*(F.col(f.name).alias(n) for f, n in zip(shown, names, strict=True)), text.alias("_text"))
     inner = inner.select(*names, left(SPACES).cast("long").alias("word_chars"), (F.length("_text") - left(SYMBOLS)).cast("long").alias("n_symbols"), "_text")
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, shown, strict=True)) + ", word_chars long, n_symbols long, n_words long, n_dup_lines long, n_repeat_words long, n_lines long"
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def _measures() -> dict[str, Column]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Memo, text_slices
+from trawl.llm.common import Memo, text_slices, tidy
 
 MARK = "▁"
 PRETOKEN = re.compile(r" +[^ ]*")
@@ -95,6 +95,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
         docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("_bytes"), text.alias("_text"))
-        .mapInArrow(count, f"_id {kind}, _bytes long, _tokens long")
+        .mapInArrow(tidy(count), f"_id {kind}, _bytes long, _tokens long")
         .select(F.col("_id").alias(id_col), F.col("_bytes").alias("n_bytes"), F.col("_tokens").alias("n_tokens"), (F.col("_tokens") > limit).alias("over_limit"))
     )

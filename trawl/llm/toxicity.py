@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Memo, learnable, text_slices
+from trawl.llm.common import Memo, learnable, text_slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: The field is fitted on at most about so many labelled documents of each class, and so many characters of
@@ -258,5 +258,5 @@ def score(docs: DataFrame, model: ToxicField, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, names=["_id", "score", "spans"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, score double" + f", spans {SPANS}" * spans)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"_id {kind}, score double" + f", spans {SPANS}" * spans)
     return found.select(F.col("_id").alias(id_col), (~learnable("_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(["spans"] if spans else []))
