@@ -275,7 +275,7 @@ PAGES = {
     "<body><div class=sidebar>x y z.</div><div class=content><h1>T</h1><p>Long para one, with text. And so on.</p><ul><li>item a</li></ul></div><div id=comments><p>Nice, post. Very good, all of it is so good.</p></div></body>": "T Long para one, with text. And so on. item a",
     "<article><h1>T &amp; U</h1><div class='notice'>We use cookies, ok.</div><p>Body\n of  it.</p><aside>x</aside><p>Be <a href=x>li</a>nk.</p><section class='comments'><p>c</p></section><form><p>send</p></form></article>": "T & U Body of it. Be link.",
     "<script>var t='</p>';</script><style>p{}</style><nav><a href=/>Home</a></nav><main><p>a<p>b<br>c</main><footer>f</footer>": "a b c",
-    "": "", "<p>": "", "plain": "plain", "<a <b": "", "<p>1 < 2</p>": "1 < 2", "<nav>only</nav>": "",
+    "": "", "<p>": "", "plain": "plain", "<a <b": "", "<p>1 < 2</p>": "1 < 2", "<nav>only</nav>": "", "<p title=don't>x</p><p>y</p>": "x y",
 }
 
 

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+from trawl.llm.common import tidy
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
@@ -88,9 +90,10 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > position:
             text(html.unescape(page[position : m.start()]))
         position = m.end()
-        if not (tag := (m[2] or "").lower()):
+        if not (tag := (m[2] or m[5] or "").lower()):
             continue
-        if m[1]:
+        attributes = m[3] or m[6] or ""
+        if m[1] or m[4]:
             if tag == "a":
                 link = max(0, link - 1)
             if tag in INLINE:
@@ -129,11 +132,11 @@ def blocks_of(page: str) -> list[Block]:
                 up = up.parent
             while up.tag in CLOSED_BY[tag]:
                 at, up = up.parent, up.parent
-        names = " ".join(a or b or c for _, a, b, c in NAMED.findall(m[3]))
+        names = " ".join(a or b or c for _, a, b, c in NAMED.findall(attributes))
         made = Element(tag, at, at.furniture or tag in FURNITURE or bool(names and tag not in ("body", "html") and FURNITURE_NAME.search(names)), names, at.depth + 1)
         keep.append(made)
         paths[id(made)] = f"{paths[id(at)]}/{tag}" + (f".{names}" if names else "")
-        if not m[3].endswith("/"):
+        if not attributes.endswith("/"):
             at = made
     if position < len(page):
         rest = page[position:]
@@ -210,5 +213,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    found = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).mapInArrow(run, f"_id {kinds[0]}, _url {kinds[1]}, text string")
+    found = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).mapInArrow(tidy(run), f"_id {kinds[0]}, _url {kinds[1]}, text string")
     return found.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
