@@ -22,18 +22,22 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Memo, settle, text_slices
+from trawl.llm.common import mix64, settle, text_slices, tidy
 
 MAGIC = b"TRWLWM01"
 BLOCK_BYTES = 8192
 #: A file is ended after the document with which it holds so many tokens.
-FILE_TOKENS = 1 << 21
+FILE_TOKENS = 1 << 19
 END_ID = 0
-TABLE_ROWS = 400_000
-KEPT_CHARS = 64
-CHUNK = re.compile(r" ?[^ ]+")
-#: A space beside other white space: where such a text is split depends on more than one chunk.
+#: Words of the table; about 30 bytes each.
+TABLE_ROWS = 2_000_000
+#: Longer words aren't kept. A word's key is a polynomial in its bytes, modulo 2^64; for words of this length two
+#: distinct ones of m share a key with a chance of about m^2 / 2^65.
+KEPT_BYTES = 64
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
+#: A space beside other white space: where such a text is split depends on more than one word.
 MIXED_SPACE = re.compile(r" \s|\s ")
+ASCII_SPACE = np.isin(np.arange(256), (*range(9, 14), *range(28, 33)))
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -55,7 +59,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         ends = np.cumsum([len(x) for x in blocks], dtype=np.int64)
         sections += [(ends - [len(x) for x in blocks]).astype("<i8").tobytes() + np.array([ends[-1] if len(ends) else 0], "<i8").tobytes(), (np.cumsum(counts) - counts).astype("<i8").tobytes(), b"".join(blocks)]
         if b:
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
     header["sections"] = [len(s) for s in sections]
     head = json.dumps(header).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *sections])
@@ -143,15 +147,77 @@ class WaveletFile:
         for k in range(self.bits - 1, -1, -1):
             ones = self._plane(k)
             out = np.empty(self.n, kind)
-            out[~ones] = now[: self.zeros[k]]
-            out[ones] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~ones)] = now[: self.zeros[k]]
+            out[np.flatnonzero(ones)] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             now = out
         return now
 
 
+class WordTable:
+    """Words' ids by the words' hashes, in arrays: sorted keys, and places in a pool of ids. At most TABLE_ROWS words
+    are held; then the older half goes."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # old and recent: keys, places, lengths
+        self.pool, self.used = np.zeros(1 << 16, kind), 0
+
+    def add_ids(self, ids: np.ndarray) -> int:
+        """Puts ids into the pool; where they start."""
+        if self.used + len(ids) > len(self.pool):
+            grown = np.zeros(max(2 * len(self.pool), self.used + len(ids)), self.kind)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1 if unknown) and lengths for sorted keys."""
+        place, length = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, at, n in self.runs:
+            if len(known):
+                i = np.searchsorted(known, keys)
+                i[i == len(known)] = 0
+                hit = known[i] == keys
+                place[hit], length[hit] = at[i[hit]], n[i[hit]]
+        return place, length
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """New words with their ids, one after the other; their places."""
+        ends = np.cumsum(lengths)
+        at = self.add_ids(ids) + ends - lengths
+        old, recent = self.runs
+        recent = self._merged(recent, (keys, at, lengths))
+        if len(recent[0]) > max(1 << 16, len(old[0]) // 4):
+            old, recent = self._merged(old, recent), tuple(x[:0] for x in recent)
+        self.runs = [old, recent]
+        return at
+
+    def trim(self) -> None:
+        """Drops the older half if there are too many words; before a round, as places change."""
+        keys, at, n = self._merged(*self.runs)
+        if len(keys) <= TABLE_ROWS:
+            return
+        cut = int(np.median(at))
+        kept = at >= cut
+        self.runs = [(keys[kept], at[kept] - cut, n[kept]), tuple(x[:0] for x in (keys, at, n))]
+        self.pool, self.used = self.pool[cut : self.used].copy(), self.used - cut
+
+    @property
+    def words(self) -> int:
+        return sum(len(r[0]) for r in self.runs)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them. Where its rules split texts before every space,
-    texts are cut there and each distinct chunk is encoded once while it stays in a bounded table."""
+    texts are cut there, and each distinct word is encoded once while it stays in a bounded table."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -164,37 +230,100 @@ class Encoder:
         self.tokenizer.no_padding()
         rules = json.loads(self.tokenizer.to_str())
         before = rules["pre_tokenizer"] or {}
-        self.chunks = rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.special = [t["content"] for t in rules["added_tokens"]]
-        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
-        self.table = Memo(TABLE_ROWS)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        form = {2: "H", 4: "I"}[self.width]
-        return [struct.pack(f"<{len(e.ids)}{form}", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.table = WordTable(self.kind)
+        # ids with a space in them; the library writes it as U+0120
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.spaced[i] = "\u0120" in token
+        self.by_word = rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it, and how many each has. They are encoded in one text: a word has
+        one space, at its start, so the ids with a space are those that start words."""
+        parts = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(words):
+            raise ValueError("this vocabulary splits words in another way")
+        return ids, np.diff(starts, append=len(ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, without an end, as bytes."""
-        whole = [not self.chunks or MIXED_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
-        cut = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        # a text of spaces only, or that ends in one, has a chunk more; such texts are rare
-        for i, (t, w) in enumerate(zip(texts, whole, strict=True)):
-            if not w and t.endswith(" "):
-                cut[i].append(" ")
-        distinct = {c for cs in cut for c in cs}
-        long = [c for c in distinct if len(c) > KEPT_CHARS]
-        known = self.table.fill(distinct.difference(long), self._encode)
-        extra = dict(zip(long, self._encode(long), strict=True)) if long else {}
-        out = []
-        for t, w, cs in zip(texts, whole, cut, strict=True):
-            if w:
-                out.append(self._encode([t])[0])
-            elif extra and not extra.keys().isdisjoint(cs):
-                out.append(b"".join(known[c] if c in known else extra[c] for c in cs))
-            else:
-                out.append(b"".join(map(known.__getitem__, cs)))
-        return out
+        if not self.by_word:
+            return [self._ids(t).tobytes() for t in texts]
+        if not texts:
+            return []
+        if self.table.words > TABLE_ROWS:
+            self.table.trim()
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join([b"\n", *parts, b""])
+        buffer = np.frombuffer(data, np.uint8)
+        sizes = np.array(list(map(len, parts)))
+        ends = np.cumsum(sizes + 1) + 1
+        spaces = np.flatnonzero(buffer == 32)
+        owner = np.searchsorted(ends, spaces)
+        if whole := self._whole(texts, data, buffer, spaces, owner):
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [self._ids(t).tobytes() if i in whole else next(rest) for i, t in enumerate(texts)]
+        per_text = np.bincount(owner, minlength=len(texts))
+        stops = np.minimum(np.append(spaces[1:], len(data)), ends[owner]) if len(spaces) else spaces
+        # what stands before the first space of each text
+        heads = np.append(spaces, 0)[np.minimum(np.cumsum(per_text) - per_text, len(spaces))]
+        heads = np.where(per_text > 0, heads, ends)
+        firsts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip((ends - sizes).tolist(), heads.tolist(), strict=True)]
+        lead = [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        place, length = self._places(data, buffer, spaces + 1, stops)
+        total = np.cumsum(length)
+        ids = self.table.pool.take(np.arange(int(total[-1]) if len(total) else 0) + np.repeat(place - total + length, length))
+        body, bounds = ids.tobytes(), (np.concatenate([[0], total]) * self.width).tolist()
+        last = np.cumsum(per_text)
+        return [first + body[bounds[a] : bounds[b]] for first, a, b in zip(lead, (last - per_text).tolist(), last.tolist(), strict=True)]
+
+    def _whole(self, texts: list[str], data: bytes, buffer: np.ndarray, spaces: np.ndarray, owner: np.ndarray) -> set[int]:
+        """Texts that can't be cut at their spaces: one stands beside other white space or at an end, or a special
+        string is in the text."""
+        before, after = buffer[spaces - 1], buffer[spaces + 1]
+        whole = {*np.unique(owner[ASCII_SPACE[before] | ASCII_SPACE[after]]).tolist()}
+        # beside what may be white space beyond ASCII: its first byte after, its last but one before
+        maybe = (before >= 0x80) & np.isin(buffer[spaces - 2], (0xC2, 0x80, 0x81, 0x9A)) | np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))
+        whole.update(i for i in np.unique(owner[maybe]).tolist() if MIXED_SPACE.search(texts[i]))
+        for special in self.special:
+            if special.encode() in data:
+                whole.update(i for i, t in enumerate(texts) if special in t)
+        return whole
+
+    def _places(self, data: bytes, buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of each word lie, and how many they are."""
+        n = stop - start
+        place, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        short = np.flatnonzero(n <= KEPT_BYTES)
+        # the longest first, so that those with a k-th byte are a prefix
+        short = short[np.argsort(KEPT_BYTES - n[short].astype(np.uint8), kind="stable")]
+        at, keys = start[short], n[short].astype(np.uint64)
+        reach = len(short) - np.cumsum(np.bincount(n[short], minlength=1))
+        for k, m in enumerate(reach[:-1].tolist()):
+            keys[:m] = keys[:m] * FACTOR + buffer[at[:m] + k]
+        distinct, first, number = np.unique(mix64(keys), return_index=True, return_inverse=True)
+        where, many = self.table.find(distinct)
+        unknown = np.flatnonzero(where < 0)
+        if len(unknown):
+            at = short[first[unknown]]
+            words = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+            ids, counts = self._word_ids(words)
+            where[unknown], many[unknown] = self.table.add(distinct[unknown], ids, counts), counts
+        place[short], length[short] = where[number], many[number]
+        for w in np.flatnonzero(n > KEPT_BYTES).tolist():
+            ids, counts = self._word_ids([data[start[w] : stop[w]].decode("utf-8", "surrogatepass")])
+            place[w], length[w] = self.table.add_ids(ids), counts[0]
+        return place, length
 
 
 @functools.cache
@@ -238,7 +367,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     dealt = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    return settle(dealt.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"), "wavelet")
+    return settle(dealt.mapInArrow(tidy(run), "part int, seq int, n_docs long, n_tokens long, file binary"), "wavelet")
 
 
 def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -256,7 +385,7 @@ def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(found.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(found.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["part", "seq", "_id", "at", "n_tokens", "ids_crc32"])
 
-    read = files.select("part", "seq", "file").mapInArrow(run, "part int, seq int, _id long, at long, n_tokens long, ids_crc32 long")
+    read = files.select("part", "seq", "file").mapInArrow(tidy(run), "part int, seq int, _id long, at long, n_tokens long, ids_crc32 long")
     # where each part starts (a row for each task that wrote), then each file in its part
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
