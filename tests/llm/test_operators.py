@@ -386,8 +386,8 @@ def test_language_odd(odd, none, docs):
 def test_backoff():
     model = langid.fit([("a", "zork zork zork blim blim blim"), ("b", "quap quap quap dren dren dren")], least=2)
     assert "zork" in model.words and "zorkish" not in model.words
-    langs, _ = langid.predict(model, Memo(10), ["zorkish", "quapper", "zork quap quap", "1 2"])
-    assert langs == ["a", "b", "b", "und"]
+    langs, _ = langid.predict(model, Memo(10), ["zorkish", "quapper", "zork quap quap", "1 2", "² ½Ⅷ _"])
+    assert langs == ["a", "b", "b", "und", "und"]
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------

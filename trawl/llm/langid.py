@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import Memo, free_memory, learnable, text_slices, tidy
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are no letters: numbers beyond the decimal digits.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 GRAM = 5
 #: The model is fitted on about so many characters of labelled texts for each language (whole rows, by a hash of
 #: the id), and on the languages with the most rows, up to LANGUAGES.
