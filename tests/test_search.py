@@ -195,6 +195,17 @@ def test_exact_on_binary(spark):
     assert exact.matches(df, "p", "c", compile_pattern("^$")).select("path").collect() == [(5,)]
 
 
+def test_events_of_many_lines(spark):
+    text = "\n".join("é" * (i % 7) + ("needle" if i % 3 == 0 else "") for i in range(1500))
+    rows = lines.events(spark.createDataFrame([(1, text)], "p int, t string"), "p", "t", compile_pattern("needle")).collect()
+    data = text.encode()
+    assert len(rows) == 500
+    for r in rows:
+        at = r["absolute_offset"]
+        assert data[at : at + len(r["line"].encode())] == r["line"].encode() and (at == 0 or data[at - 1] == 10)
+        assert data[at + r["start"] : at + r["end"]] == b"needle"
+
+
 def test_not_native():
     for p in ("a*", "^a", "[^a]b", "(?:ab)+"):
         with pytest.raises(lines.NotNative):

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from trawl.functions.pattern import Pattern
 
 
+#: Lines between sums of line lengths.
+STEP = 256
+
+
 class NotNative(ValueError):
     """The pattern needs operators.exact."""
 
@@ -88,12 +92,14 @@ def count_lines(df: DataFrame, path: str, text: str, pattern: Pattern, invert: b
 def context(df: DataFrame, path: str, text: str, pattern: Pattern, before: int, after: int, most: int | None = None) -> DataFrame:
     """path, line_number, line, is_match of the lines with a match and those around them; with `most`, around the
     first so many. Found within the row."""
-    arr = F.col("_lines")
     rows = df.where(exists(pattern, F.col(text))).select(F.col(path).alias("path"), line_array(F.col(text)).alias("_lines"))
-    at = F.filter(F.transform(arr, lambda x, i: F.when(exists(pattern, x), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_at", F.slice(at, 1, most) if most is not None else at)
-    near = lambda i: F.exists("_at", lambda m: (i >= m - before) & (i <= m + after))
-    shown = F.transform(arr, lambda x, i: F.when(near(i), F.struct((i + 1).alias("line_number"), x.alias("line"), F.array_contains("_at", i).alias("is_match"))))
+    rows = rows.withColumn("_hit", F.transform("_lines", lambda x: exists(pattern, x)))
+    if most is not None:
+        at = F.filter(F.transform("_hit", lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+        rows = rows.withColumn("_last", F.get(at, F.lit(most - 1))).withColumn("_hit", F.transform("_hit", lambda h, i: h & (F.col("_last").isNull() | (i <= F.col("_last")))))
+    first = lambda i: F.greatest(i - after, F.lit(0))
+    near = lambda i: F.exists(F.slice("_hit", first(i) + 1, i + before - first(i) + 1), lambda h: h)
+    shown = F.transform("_lines", lambda x, i: F.when(near(i), F.struct((i + 1).alias("line_number"), x.alias("line"), F.get("_hit", i).alias("is_match"))))
     return rows.select("path", F.inline(F.filter(shown, lambda s: s.isNotNull())))
 
 
@@ -161,13 +167,17 @@ def events(df: DataFrame, path: str, text: str, pattern: Pattern) -> DataFrame:
     """One row for each line with a match, as in JSON output: path, line_number, absolute_offset (bytes), line, match,
     start, end (bytes on the line)."""
     _need(pattern, True)
-    arr = F.col("_lines")
     rows = df.where(exists(pattern, F.col(text))).select(F.col(path).alias("path"), line_array(F.col(text)).alias("_lines"))
-    rows = rows.select("path", "_lines", F.posexplode(arr).alias("_at", "line")).where(exists(pattern, F.col("line")))
+    # where lines start: sums up to every STEP-th line, then within
+    rows = rows.withColumn("_sizes", F.transform("_lines", lambda x: F.octet_length(x).cast("long") + 1))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, n: a + n)
+    rows = rows.withColumn("_sums", F.transform(F.sequence(F.lit(0), F.floor(F.size("_lines") / STEP).cast("int")), lambda k: total(F.slice("_sizes", F.lit(1), k * STEP))))
+    rows = rows.select("path", "_sizes", "_sums", F.posexplode("_lines").alias("_at", "line")).where(exists(pattern, F.col("line")))
     rows = rows.withColumn("match", F.regexp_substr("line", F.lit(pattern.java)))
     start = F.octet_length(F.left("line", F.regexp_instr("line", F.lit(pattern.java)) - 1))
-    before = F.octet_length(F.array_join(F.slice("_lines", F.lit(1), F.col("_at")), "\n")) + (F.col("_at") > 0).cast("int")
-    rows = rows.withColumn("start", start.cast("long")).withColumn("absolute_offset", before.cast("long"))
+    step = F.floor(F.col("_at") / STEP).cast("int")
+    before = F.get("_sums", step) + total(F.slice("_sizes", step * STEP + 1, F.col("_at") % STEP))
+    rows = rows.withColumn("start", start.cast("long")).withColumn("absolute_offset", before)
     return rows.select("path", (F.col("_at") + 1).alias("line_number"), "absolute_offset", "line", "match", "start", (F.col("start") + F.octet_length("match")).alias("end"))
 
 
