@@ -39,8 +39,7 @@ def exists(pattern: Pattern, text: Column) -> Column:
 
 def line_array(text: Column) -> Column:
     """The lines of a text; what ends with a newline has no line after it."""
-    parts = F.split(text, "\n", -1)
-    return F.when(text.endswith("\n"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text), "\n", -1)
 
 
 def lines(df: DataFrame, path: str, text: str) -> DataFrame:
@@ -85,8 +84,9 @@ def count_lines(df: DataFrame, path: str, text: str, pattern: Pattern, invert: b
     """path, count of lines with a match (invert: without); texts of which none counts are left out."""
     hit = F.size(F.filter(line_array(F.col(text)), lambda x: ~exists(pattern, x) if invert else exists(pattern, x))).cast("long")
     hit = F.least(hit, F.lit(most).cast("long")) if most is not None else hit
-    rows = df if invert else df.where(exists(pattern, F.col(text)))
-    return rows.select(F.col(path).alias("path"), hit.alias("count")).where(F.col("count") > 0)
+    if not invert:  # a text with a match has a line with one
+        return df.where(exists(pattern, F.col(text))).select(F.col(path).alias("path"), hit.alias("count"))
+    return df.select(F.col(path).alias("path"), hit.alias("count")).where(F.col("count") > 0)
 
 
 def context(df: DataFrame, path: str, text: str, pattern: Pattern, before: int, after: int, most: int | None = None) -> DataFrame:
