@@ -103,25 +103,19 @@ def thresholds(measured: DataFrame, n_groups: int) -> DataFrame:
     sketched = measured.where(F.col("n_words") > 0).select(*names, *(c.alias(k) for k, c in _measures().items()))
     # KLL compacts at random, so thresholds of large groups may differ a little between runs
     own = settle(sketched.groupBy(*names).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in SLACK)), "sketches")
-    levels = [own]
-    for depth in range(n_groups - 1, -1, -1):
-        at = own.groupBy(*names[:depth]).agg(F.sum("n").alias(f"n_{depth}"), *(F.kll_merge_agg_double(k).alias(f"{k}_{depth}") for k in SLACK))
-        levels.append(at)
     full = own
-    for depth, at in zip(range(n_groups - 1, -1, -1), levels[1:], strict=True):
-        if depth:
-            cond = [F.col(g).eqNullSafe(F.col(f"r_{g}")) for g in names[:depth]]
-            full = full.join(at.withColumnsRenamed({g: f"r_{g}" for g in names[:depth]}), cond, "left").drop(*(f"r_{g}" for g in names[:depth]))
-        else:  # one row of a few KB: the sketches of all documents
-            overall = at.first()
-            full = full.withColumns({c: F.lit(bytes(v) if isinstance(v, bytearray) else v) for c, v in overall.asDict().items()})
+    for depth in range(1, n_groups):  # the sketches of larger groups, beside each group's own
+        wider = own.groupBy(*names[:depth]).agg(F.sum("n").alias(f"n_{depth}"), *(F.kll_merge_agg_double(k).alias(f"{k}_{depth}") for k in SLACK))
+        same = [F.col(g).eqNullSafe(F.col(f"r{g}")) for g in names[:depth]]
+        full = full.join(wider.withColumnsRenamed({g: f"r{g}" for g in names[:depth]}), same, "left").drop(*(f"r{g}" for g in names[:depth]))
+    overall = own.agg(*(F.kll_merge_agg_double(k).alias(k) for k in SLACK)).first()  # one row of a few KB
     for k, slack in SLACK.items():
-        sketch = F.col(k)
-        for depth in range(n_groups - 1, -1, -1):
-            big = F.col("n") >= LEAST_GROUP if depth == n_groups - 1 else F.col(f"n_{depth + 1}") >= LEAST_GROUP
-            sketch = F.when(big, sketch).otherwise(F.col(f"{k}_{depth}")) if depth == n_groups - 1 else F.when((F.col("n") >= LEAST_GROUP) | big, sketch).otherwise(F.col(f"{k}_{depth}"))
-        at = lambda q, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(q))
-        full = full.withColumn(f"most_{k}", at(0.5) + F.greatest(F.lit(slack), SPREAD * (at(0.5) - at(0.1))))
+        sketch = F.lit(None if overall[k] is None else bytes(overall[k])).cast("binary")
+        for depth in range(1, n_groups):
+            sketch = F.when(F.col(f"n_{depth}") >= LEAST_GROUP, F.col(f"{k}_{depth}")).otherwise(sketch)
+        sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(k)).otherwise(sketch)
+        median, low = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.1))
+        full = full.withColumn(f"most_{k}", median + F.greatest(F.lit(slack), SPREAD * (median - low)))
     return full.select(*names, *(f"most_{k}" for k in SLACK))
 
 
