@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import Memo, free_memory, learnable, text_slices, tidy
 
-#: Characters of words that are no letters: numbers beyond the decimal digits.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 GRAM = 5
 #: The model is fitted on about so many characters of labelled texts for each language (whole rows, by a hash of
 #: the id), and on the languages with the most rows, up to LANGUAGES.
@@ -26,7 +24,7 @@ SAMPLE_CHARS = 1_500_000
 LANGUAGES = 256
 #: A word or n-gram seen less often in the sample isn't kept.
 LEAST = 3
-TABLE_ROWS = 200_000
+TABLE_ROWS = 300_000
 KEPT_CHARS = 64
 
 
@@ -89,10 +87,15 @@ def word_score(model: LanguageModel, word: str) -> np.ndarray:
 def predict(model: LanguageModel, table: Memo, texts: list[str]) -> tuple[list[str], list[float]]:
     """Per text the language and its share of the evidence; 'und' and 0.0 where there is no letter or no model."""
     held = [LETTERS.findall(t.lower()) for t in texts]
+    # what the pattern finds may be numerals without any letter, such as fractions
+    distinct = {w for ws in held for w in ws}
+    bare = {w for w in distinct if not w.isalpha() and not any(map(str.isalpha, w))}
+    if bare:
+        distinct -= bare
+        held = [[w for w in ws if w not in bare] for ws in held]
     sizes = np.array([len(w) for w in held], np.int64)
     if not model.languages or not sizes.sum():
         return ["und"] * len(texts), [0.0] * len(texts)
-    distinct = {w for ws in held for w in ws}
     long = [w for w in distinct if len(w) > KEPT_CHARS]
     known = table.fill(distinct.difference(long), lambda new: [word_score(model, w).tobytes() for w in new])
     order = list(distinct)
