@@ -284,6 +284,18 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+LONG_PART = "Long text, it goes on. " * 40
+WHOLE = {
+    # content paths outside the element with most of the text
+    f"<body><div class=top><a href=/>Home</a></div><div id=post><div class=text><p>{LONG_PART}</p></div><div class=text><p>Short end, of it.</p></div></div></body>": f"{LONG_PART}Short end, of it.",
+}
+
+
+@pytest.mark.parametrize("page", list(WHOLE))
+def test_main_text_is_whole(page):
+    assert html.main_text(page) == WHOLE[page]
+
+
 def test_html_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}

@@ -41,11 +41,11 @@ FURNITURE_NAME = re.compile(
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 #: A path is content if its fused ratio reaches this share of the page's largest.
 SHARE = 0.1
-#: The article is the innermost element with at least this share of the text of content paths.
+#: <article> and <main> bound the article if they hold at least this share of the text of content paths.
 CORE = 0.9
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     parent: Element | None
@@ -55,7 +55,7 @@ class Element:
     chars: int = 0
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     at: Element
     path: str
@@ -164,6 +164,36 @@ def ratios(blocks: list[Block]) -> dict[str, float]:
     return {p: (v / count[p] * fused[p]) ** 0.5 for p, v in total.items()}
 
 
+def above(at: Element, end: Element | None = None) -> Iterator[Element]:
+    """The element and those around it, up to end."""
+    up: Element | None = at
+    while up is not None:
+        yield up
+        up = None if up is end else up.parent
+
+
+def cores(content: list[Block]) -> list[Element]:
+    """The elements that bound the article: <article> or <main>, else the innermost one around all content."""
+    held: dict[Element, int] = {}
+    for b in content:
+        outer = [x for x in above(b.at) if x.tag in ("article", "main")]
+        if outer:
+            held[outer[-1]] = held.get(outer[-1], 0) + len(b.text)
+    if held and sum(held.values()) >= CORE * sum(len(b.text) for b in content):
+        return list(held)
+    core = content[0].at
+    for b in content:
+        x = b.at
+        while x is not core:
+            if x.depth >= core.depth:
+                x = x.parent
+            else:
+                core = core.parent
+    while (core.tag in LEAF or core.tag == "section") and core.parent is not None:
+        core = core.parent
+    return [core]
+
+
 def main_text(page: str) -> str:
     """The article of a page; empty if there is none."""
     blocks = blocks_of(page)
@@ -173,29 +203,9 @@ def main_text(page: str) -> str:
     ratio = ratios(blocks)
     least = SHARE * max(ratio[b.path] for b in plain)
     content = [b for b in plain if ratio[b.path] >= least]
-    held: dict[int, list] = {}
-    for b in content:
-        up: Element | None = b.at
-        while up is not None:
-            held.setdefault(id(up), [up, 0])[1] += len(b.text)
-            up = up.parent
-    total = sum(len(b.text) for b in content)
-    core = max((x for x, n in held.values() if n >= CORE * total), key=lambda x: x.depth)
-    while core.tag in LEAF and core.parent is not None:
-        core = core.parent
-    up = core
-    while up is not None:
-        if up.tag in ("article", "main"):
-            core = up
-        up = up.parent
-    out = []
-    for b in plain:
-        up = b.at
-        while up is not None and up is not core:
-            up = up.parent
-        if up is core and b.linked < 0.5 * len(b.text) + 1:
-            out.append(b.text)
-    return " ".join(out)
+    bounds, passed = set(cores(content)), set(content)
+    out = [b for b in plain if b in passed or not bounds.isdisjoint(above(b.at))]
+    return " ".join(b.text for b in out if b.linked < 0.5 * len(b.text) + 1)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
