@@ -288,6 +288,10 @@ LONG_PART = "Long text, it goes on. " * 40
 WHOLE = {
     # content paths outside the element with most of the text
     f"<body><div class=top><a href=/>Home</a></div><div id=post><div class=text><p>{LONG_PART}</p></div><div class=text><p>Short end, of it.</p></div></div></body>": f"{LONG_PART}Short end, of it.",
+    # links inside the article
+    "<article><h1>T</h1><h2><a href=#s>Section title</a></h2><p>Body text, of it. More.</p><p><a href=x>One linked paragraph</a></p><ul><li><a href=y>Ref one</a></li><li><a href=z>Ref two</a></li></ul></article>": "T Section title Body text, of it. More. One linked paragraph Ref one Ref two",
+    "<body><ul><li><a href=x>Home</a></li></ul><h1><a href=#t>T</a></h1><p>Text, it is.</p><h2>References</h2><ul><li><a href=x>Ref</a></li></ul></body>": "T Text, it is. References Ref",
+    "<body><ul><li><a href=x>Home</a></li></ul></body>": "",
 }
 
 

@@ -30,6 +30,7 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption c
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("article aside body blockquote div dl fieldset figure footer form header html main nav ol section table td th ul".split())
 CLOSES_P = CONTAINERS | frozenset("address details h1 h2 h3 h4 h5 h6 hr p pre li dt dd tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements and names of page furniture.
 FURNITURE = frozenset("nav header footer aside form button select menu dialog head".split())
 FURNITURE_NAME = re.compile(
@@ -194,6 +195,24 @@ def cores(content: list[Block]) -> list[Element]:
     return [core]
 
 
+def loose_links(blocks: list[Block], passed: set[Block]) -> set[Block]:
+    """Where only the page bounds the article: blocks of paths that are mostly links, before its first heading or
+    content, or after its last content and not under a heading."""
+    chars, linked = defaultdict(int), defaultdict(int)
+    for b in blocks:
+        chars[b.path] += len(b.text)
+        linked[b.path] += min(b.linked, len(b.text))
+    last = max(i for i, b in enumerate(blocks) if b in passed)
+    out, inside = set(), False
+    for i, b in enumerate(blocks):
+        if i == last + 1 and not any(x.tag in HEADINGS for x in above(blocks[last].at)):
+            inside = False
+        inside |= b in passed or any(x.tag in HEADINGS for x in above(b.at))
+        if not inside and 2 * linked[b.path] >= chars[b.path]:
+            out.add(b)
+    return out
+
+
 def main_text(page: str) -> str:
     """The article of a page; empty if there is none."""
     blocks = blocks_of(page)
@@ -202,10 +221,15 @@ def main_text(page: str) -> str:
         return ""
     ratio = ratios(blocks)
     least = SHARE * max(ratio[b.path] for b in plain)
-    content = [b for b in plain if ratio[b.path] >= least]
+    if least > 0:
+        content = [b for b in plain if ratio[b.path] >= least]
+    else:  # nothing but links
+        content = [b for b in plain if any(x.tag in ("article", "main") for x in above(b.at))]
+    if not content:
+        return ""
     bounds, passed = set(cores(content)), set(content)
-    out = [b for b in plain if b in passed or not bounds.isdisjoint(above(b.at))]
-    return " ".join(b.text for b in out if b.linked < 0.5 * len(b.text) + 1)
+    loose = loose_links(plain, passed) if any(x.tag in ("body", "html", "#") for x in bounds) else set()
+    return " ".join(b.text for b in plain if b in passed or (b not in loose and not bounds.isdisjoint(above(b.at))))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
