@@ -292,6 +292,12 @@ WHOLE = {
     "<article><h1>T</h1><h2><a href=#s>Section title</a></h2><p>Body text, of it. More.</p><p><a href=x>One linked paragraph</a></p><ul><li><a href=y>Ref one</a></li><li><a href=z>Ref two</a></li></ul></article>": "T Section title Body text, of it. More. One linked paragraph Ref one Ref two",
     "<body><ul><li><a href=x>Home</a></li></ul><h1><a href=#t>T</a></h1><p>Text, it is.</p><h2>References</h2><ul><li><a href=x>Ref</a></li></ul></body>": "T Text, it is. References Ref",
     "<body><ul><li><a href=x>Home</a></li></ul></body>": "",
+    # names of furniture on wrappers and parts of the article
+    "<body><div class='main has-sidebar'><h1>T</h1><p>Body text, of it. More.</p><div class=sidebar>Side, bar.</div></div></body>": "T Body text, of it. More.",
+    "<body><div class='page widget'><p>Body text, of it. More and more.</p><div class=sidebar>Side, bar.</div></div><p>by X</p></body>": "Body text, of it. More and more. by X",
+    "<article><div class=post-header><h1><a href=x>Title</a></h1></div><p>Body text, of it. More.</p><section id=related-work><h2>Related work</h2><p>Others did, too.</p></section><h2 id=search>Search</h2><p>We search, much.</p><section id=discussion><p>We discuss, it.</p></section><div class=related><h3>More</h3><ul><li><a href=x>Other post</a></li></ul></div><div id=comments><p>No, no.</p></div></article>":
+        "Title Body text, of it. More. Related work Others did, too. Search We search, much. We discuss, it.",
+    f"<body><article><h1>T</h1><p>Short, one.</p></article><div class=ad>{LONG_PART}</div></body>": "T Short, one.",
 }
 
 

@@ -31,19 +31,33 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 CONTAINERS = frozenset("article aside body blockquote div dl fieldset figure footer form header html main nav ol section table td th ul".split())
 CLOSES_P = CONTAINERS | frozenset("address details h1 h2 h3 h4 h5 h6 hr p pre li dt dd tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Elements and names of page furniture.
+# Elements and names of page furniture. "has-sidebar" and the like don't name the element itself.
 FURNITURE = frozenset("nav header footer aside form button select menu dialog head".split())
-FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner|sidebar|side-?bar|comments?|replies|respond|discussion|disqus|notice|notices|cookie\w*|consent|alert|popup|modal|overlay"
-    r"|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|search|pagination|pager|widget|toolbar|skip|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s|(?<!\bhas)(?<!\bwith)(?<!\bwithout)(?<!\bno)[_-])(?:{words})(?=$|[\s_-])", re.I)
+
+
+FURNITURE_NAME = _names(
+    r"ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner|sidebar|side-?bar|comments?|replies|respond|disqus|notice|notices|cookie\w*|consent|alert|popup|modal|overlay"
+    r"|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|share|sharing|social|subscribe|newsletter|signup|login|pagination|pager|widget|toolbar|skip|complementary|contentinfo"
 )
+#: Names of furniture that parts of articles have too, and those of them that lower a ratio (the others make it 0).
+OPEN_NAME = _names(r"discussion|header|related|recommend\w*|search")
+TEXT_NAME = _names(r"discussion|related|recommend\w*")
+#: A section's id is mostly the anchor of its heading; these are furniture all the same.
+SECTION_ID = _names(r"ads?|advert\w*|sponsor\w*|promo\w*|sidebar|side-?bar|comments?|replies|respond|disqus|newsletter|subscribe|footer")
 #: Blocks to either side that a block's ratio is smoothed with, and their weights.
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 #: A path is content if its fused ratio reaches this share of the page's largest.
 SHARE = 0.1
 #: <article> and <main> bound the article if they hold at least this share of the text of content paths.
 CORE = 0.9
+#: What a name in OPEN_NAME leaves of a path's ratio; the share of links from which such a part of the article is furniture.
+LOWERED, LINKED = 0.3, 0.3
+#: A named element wraps the article if it has this share of the text, or WRAPS and nothing like an article lies outside it.
+HOLDS, WRAPS = 0.9, 0.5
 
 
 @dataclass(eq=False)
@@ -51,9 +65,12 @@ class Element:
     tag: str
     parent: Element | None
     furniture: bool
-    name: str = ""
     depth: int = 0
-    chars: int = 0
+    path: str = ""
+    #: Elements with a name of furniture from the root to this one; which kind this one is: "", "open" or "named".
+    suspects: tuple[Element, ...] = ()
+    kind: str = ""
+    lowered: float = 1.0
 
 
 @dataclass(eq=False)
@@ -65,12 +82,23 @@ class Block:
     text: str = ""
 
 
+def mark(made: Element, named: list[tuple[str, str]]) -> None:
+    """Notes what the element's names say."""
+    names = " ".join(x for _, x in named)
+    if FURNITURE_NAME.search(names):
+        ids = made.tag == "section" and not any(FURNITURE_NAME.search(x) for kind, x in named if kind != "id") and not SECTION_ID.search(names)
+        made.kind, made.lowered = ("open", LOWERED) if ids else ("named", 0.0)
+    elif OPEN_NAME.search(names):
+        made.kind, made.lowered = "open", LOWERED if TEXT_NAME.search(names) or made.tag == "section" else 0.0
+    if made.kind:
+        made.suspects += (made,)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text with their tag paths (block elements with their names), in page order."""
     root = Element("#", None, False)
     at, link, position = root, 0, 0
     blocks: list[Block] = []
-    paths: dict[int, str] = {id(root): ""}
     current: Block | None = None
 
     def text(s: str) -> None:
@@ -80,13 +108,12 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if s.isspace():
                 return
-            current = Block(at, paths[id(at)])
+            current = Block(at, at.path)
             blocks.append(current)
         current.parts.append(s)
         if link:
             current.linked += len(s.strip())
 
-    keep = [root]  # elements stay alive while their ids serve as keys
     while m := TOKEN.search(page, position):
         if m.start() > position:
             text(html.unescape(page[position : m.start()]))
@@ -133,10 +160,11 @@ def blocks_of(page: str) -> list[Block]:
                 up = up.parent
             while up.tag in CLOSED_BY[tag]:
                 at, up = up.parent, up.parent
-        names = " ".join(a or b or c for _, a, b, c in NAMED.findall(attributes))
-        made = Element(tag, at, at.furniture or tag in FURNITURE or bool(names and tag not in ("body", "html") and FURNITURE_NAME.search(names)), names, at.depth + 1)
-        keep.append(made)
-        paths[id(made)] = f"{paths[id(at)]}/{tag}" + (f".{names}" if names else "")
+        named = [(kind.lower(), a or b or c) for kind, a, b, c in NAMED.findall(attributes)]
+        names = " ".join(x for _, x in named)
+        made = Element(tag, at, at.furniture or tag in FURNITURE, at.depth + 1, f"{at.path}/{tag}" + (f".{names}" if names else ""), at.suspects)
+        if names and tag not in ("body", "html") and tag not in HEADINGS:
+            mark(made, named)
         if not attributes.endswith("/"):
             at = made
     if position < len(page):
@@ -147,22 +175,27 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in blocks if b.text]
 
 
-def ratios(blocks: list[Block]) -> dict[str, float]:
-    """Per path: text length and punctuation per block, fused (their product's root), smoothed over the page."""
+def fuse(blocks: list[Block]) -> dict[str, float]:
+    """Per path: text length and punctuation per block, fused (their product's root), less the share of links."""
     chars, marks, count, linked = (defaultdict(float) for _ in range(4))
     for b in blocks:
         chars[b.path] += len(b.text)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         linked[b.path] += min(b.linked, len(b.text))
         count[b.path] += 1
-    fused = {p: (chars[p] / n) ** 0.5 * (1 + marks[p] / n) ** 0.5 * (1 - linked[p] / chars[p]) for p, n in count.items()}
-    own = np.array([0.0 if b.at.furniture else fused[b.path] for b in blocks])
+    return {p: (chars[p] / n) ** 0.5 * (1 + marks[p] / n) ** 0.5 * (1 - linked[p] / chars[p]) for p, n in count.items()}
+
+
+def ratios(blocks: list[Block], fused: dict[str, float], weights: dict[str, float]) -> dict[str, float]:
+    """Per path: the fused ratio, weighted and smoothed over the page."""
+    own = np.array([fused[b.path] * weights[b.path] for b in blocks])
     half = len(KERNEL) // 2
     smooth = np.convolve(np.pad(own, half, mode="edge"), KERNEL, mode="valid")
-    total: dict[str, float] = defaultdict(float)
+    total, count = defaultdict(float), defaultdict(int)
     for b, v in zip(blocks, smooth, strict=True):
-        total[b.path] += 0.0 if b.at.furniture else v
-    return {p: (v / count[p] * fused[p]) ** 0.5 for p, v in total.items()}
+        total[b.path] += v * weights[b.path]
+        count[b.path] += 1
+    return {p: (v / count[p] * fused[p] * weights[p]) ** 0.5 for p, v in total.items()}
 
 
 def above(at: Element, end: Element | None = None) -> Iterator[Element]:
@@ -173,6 +206,31 @@ def above(at: Element, end: Element | None = None) -> Iterator[Element]:
         up = None if up is end else up.parent
 
 
+def wrappers(blocks: list[Block], fused: dict[str, float]) -> set[Element]:
+    """Elements with a name of furniture that wrap the article, so that their names don't count."""
+    cleared: set[Element] = set()
+    total = sum(len(b.text) for b in blocks)
+    while True:
+        within: dict[str, list[tuple[Element, Block]]] = defaultdict(list)
+        outside = []
+        for b in blocks:
+            if first := next((x for x in b.at.suspects if x not in cleared), None):
+                within[first.path].append((first, b))
+            else:
+                outside.append(b)
+        sizes = {p: sum(len(b.text) for _, b in v) for p, v in within.items()}
+        most = max(sizes, key=sizes.__getitem__, default="")
+        if not sizes or sizes[most] < WRAPS * total:
+            return cleared
+        inner, landmark = within[most], ("article", "main", "h1")
+        inside = any(x.tag in landmark for first, b in inner if b.at.suspects[-1] is first for x in above(b.at, first))
+        beside = any(x.tag in landmark for b in outside for x in above(b.at))
+        weak = max((fused[b.path] for b in outside), default=0.0) < 0.5 * max(fused[b.path] for _, b in inner)
+        if inside < beside or (inside == beside and not weak and sizes[most] < HOLDS * total):
+            return cleared
+        cleared |= {first for first, _ in inner}
+
+
 def cores(content: list[Block]) -> list[Element]:
     """The elements that bound the article: <article> or <main>, else the innermost one around all content."""
     held: dict[Element, int] = {}
@@ -214,22 +272,39 @@ def loose_links(blocks: list[Block], passed: set[Block]) -> set[Block]:
 
 
 def main_text(page: str) -> str:
-    """The article of a page; empty if there is none."""
+    """The article of a page; empty if there is none. What its bounds hold and what passes is returned, but for
+    furniture: elements of FURNITURE, named ones, and parts with a name in OPEN_NAME that are mostly links."""
     blocks = blocks_of(page)
-    plain = [b for b in blocks if not b.at.furniture]
+    fused = fuse(blocks)
+    cleared = wrappers([b for b in blocks if not b.at.furniture], fused)
+    named = {b: [x for x in b.at.suspects if x not in cleared] for b in blocks}
+    plain = [b for b in blocks if not b.at.furniture and all(x.kind == "open" for x in named[b])]
     if not plain:
         return ""
-    ratio = ratios(blocks)
-    least = SHARE * max(ratio[b.path] for b in plain)
-    if least > 0:
-        content = [b for b in plain if ratio[b.path] >= least]
+    weights = dict.fromkeys(fused, 0.0)
+    for b in plain:
+        weights[b.path] = min((x.lowered for x in named[b]), default=1.0)
+    ratio = ratios(blocks, fused, weights)
+    most = max(ratio[b.path] for b in plain)
+    if most > 0:
+        content = [b for b in plain if ratio[b.path] >= SHARE * most]
     else:  # nothing but links
         content = [b for b in plain if any(x.tag in ("article", "main") for x in above(b.at))]
     if not content:
         return ""
     bounds, passed = set(cores(content)), set(content)
+    chars, linked = defaultdict(int), defaultdict(int)
+    for b in plain:
+        for x in named[b]:
+            chars[x] += len(b.text)
+            linked[x] += 0 if any(e.tag in HEADINGS for e in above(b.at, x)) else b.linked
     loose = loose_links(plain, passed) if any(x.tag in ("body", "html", "#") for x in bounds) else set()
-    return " ".join(b.text for b in plain if b in passed or (b not in loose and not bounds.isdisjoint(above(b.at))))
+    out = []
+    for b in plain:
+        held = b not in loose and not bounds.isdisjoint(above(b.at)) and all(linked[x] < LINKED * chars[x] or not linked[x] for x in named[b])
+        if held or b in passed:
+            out.append(b.text)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
