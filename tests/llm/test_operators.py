@@ -265,6 +265,21 @@ def test_quality_adapts(spark):
     assert {i for i, k in kept.items() if not k} == {10, 20}
 
 
+def test_quality_follows_upper_quantiles(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(8))
+    rows = []
+    for i in range(200):
+        verse = i % 2
+        lines = [" ".join(word() for _ in range(15)) for _ in range(7)]
+        again = rng.randint(0, 3) if verse else 3 * (i == 10)  # of 10 lines; the other source has none
+        for k in range(3):
+            lines.insert(2 * k, "la" if k < again else word())
+        rows.append((i, "\n".join(["la", *lines]), "en", "verse" if verse else "prose"))
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, k in kept.items() if not k} == {10}
+
+
 def test_quality_empty(none):
     assert quality.judge(none).count() == 0
 

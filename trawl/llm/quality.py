@@ -18,10 +18,11 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # per 100 words
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-#: Each measure: its upper threshold lies above the group's median by SPREAD times the distance from the median
-#: to the group's low decile, and by the slack given here at least (the measures' own units).
-SLACK = {"symbol_share": 0.04, "dup_line_share": 0.35, "repeat_share": 0.3, "word_length": 4.0}
-SPREAD = 6.0
+#: Each measure's upper threshold lies above the group's high decile by SPREAD times the distance from the median to
+#: the high decile. Where both are (nearly) one value, as with measures that are 0 for most documents, the threshold
+#: lies above the median by what is given here (the measures' own units).
+TIE = {"symbol_share": 0.02, "dup_line_share": 0.2, "repeat_share": 0.1, "word_length": 1.0}
+SPREAD = 2.0
 #: Smaller groups use the sketch of their language, and that of all documents if it is small too.
 LEAST_GROUP = 40
 
@@ -102,21 +103,21 @@ def thresholds(measured: DataFrame, n_groups: int) -> DataFrame:
     names = [f"_g{i}" for i in range(n_groups)]
     sketched = measured.where(F.col("n_words") > 0).select(*names, *(c.alias(k) for k, c in _measures().items()))
     # KLL compacts at random, so thresholds of large groups may differ a little between runs
-    own = settle(sketched.groupBy(*names).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in SLACK)), "sketches")
+    own = settle(sketched.groupBy(*names).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in TIE)), "sketches")
     full = own
     for depth in range(1, n_groups):  # the sketches of larger groups, beside each group's own
-        wider = own.groupBy(*names[:depth]).agg(F.sum("n").alias(f"n_{depth}"), *(F.kll_merge_agg_double(k).alias(f"{k}_{depth}") for k in SLACK))
+        wider = own.groupBy(*names[:depth]).agg(F.sum("n").alias(f"n_{depth}"), *(F.kll_merge_agg_double(k).alias(f"{k}_{depth}") for k in TIE))
         same = [F.col(g).eqNullSafe(F.col(f"r{g}")) for g in names[:depth]]
         full = full.join(wider.withColumnsRenamed({g: f"r{g}" for g in names[:depth]}), same, "left").drop(*(f"r{g}" for g in names[:depth]))
-    overall = own.agg(*(F.kll_merge_agg_double(k).alias(k) for k in SLACK)).first()  # one row of a few KB
-    for k, slack in SLACK.items():
+    overall = own.agg(*(F.kll_merge_agg_double(k).alias(k) for k in TIE)).first()  # one row of a few KB
+    for k, tie in TIE.items():
         sketch = F.lit(None if overall[k] is None else bytes(overall[k])).cast("binary")
         for depth in range(1, n_groups):
             sketch = F.when(F.col(f"n_{depth}") >= LEAST_GROUP, F.col(f"{k}_{depth}")).otherwise(sketch)
         sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(k)).otherwise(sketch)
-        median, low = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.1))
-        full = full.withColumn(f"most_{k}", median + F.greatest(F.lit(slack), SPREAD * (median - low)))
-    return full.select(*names, *(f"most_{k}" for k in SLACK))
+        median, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.9))
+        full = full.withColumn(f"most_{k}", F.greatest(median + tie, high + SPREAD * (high - median)))
+    return full.select(*names, *(f"most_{k}" for k in TIE))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
