@@ -545,6 +545,16 @@ def test_keys_guarantee():
         assert {*neardup.chunk_keys(a)[0].tolist()} & {*neardup.chunk_keys(b)[0].tolist()}
 
 
+def test_only_distance_and_sizes_decide_confirmation():
+    """Of sets with 3 of 4 shingles in common, all pairs under the distance are confirmed."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(x) for h in rng.integers(0, 2**63, (100_000, 4)).astype(np.uint64) for x in (h, h[:3])]
+    made = neardup.signatures(sets)
+    parts = made if isinstance(made, tuple) else (made,)
+    fine = neardup.near_enough(*(side for p in parts for side in (p[::2], p[1::2])), np.full(100_000, 4), np.full(100_000, 3))
+    assert (fine == ((parts[0][::2] != parts[0][1::2]).sum(axis=1) <= neardup.DISTANCE)).all()
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(300 + k, 301 + k) for k in range(60)] + [(5, 5)]

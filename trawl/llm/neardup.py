@@ -13,8 +13,7 @@
    link between signatures under the distance is missed, and no group is expanded into rows of pairs.
 
 At the true similarity of 0.75, 68 positions differ in 17 on average, with a deviation of 3.6; DISTANCE lies 4.6
-deviations above. A second sketch (the least hash in each of 256 ranges) spares most confirmations of pairs that lie
-clearly below the similarity; its margin is as wide.
+deviations above. All pairs under the distance that sizes allow are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -36,9 +35,6 @@ SIMILAR = 75
 CHUNKS, WIDTH = 17, 4
 POSITIONS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
-RANGES = 256
-#: Pairs whose second sketch agrees in a smaller share aren't confirmed.
-SKETCH_LEAST = 0.6
 #: Members of a bucket that a task compares at once; larger buckets are cut into blocks of about so many.
 BLOCK = 3000
 #: Members of a loose group, and shingles of theirs, that a task compares at once, about.
@@ -81,8 +77,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For non-empty sets: POSITIONS values of 16 bits, and RANGES values of 8 bits (0: no hash in the range)."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """For non-empty sets: POSITIONS values of 16 bits."""
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     every = np.concatenate(sets)
@@ -90,19 +86,12 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(POSITIONS):
             values[:, k] = np.minimum.reduceat((every ^ _FLIP[k]) * _TIMES[k], starts)
-        cut = (mix64(values + np.arange(POSITIONS, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
-    # sets are sorted, so the first hash in a range is its least
-    row = np.repeat(np.arange(len(sets)), sizes)
-    place = row * RANGES + (every >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    sketch = np.zeros(len(sets) * RANGES, np.uint8)
-    sketch[place[first]] = (every[first] % np.uint64(255)).astype(np.uint8) + 1
-    return cut, sketch.reshape(len(sets), RANGES)
+        return (mix64(values + np.arange(POSITIONS, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def _features(docs: DataFrame, keep_sets: bool = False) -> DataFrame:
     """docs (id, text) to id, n (of the set), cls (a digest of the set; null if empty; two different sets of a corpus
-    of m share one with a chance of m^2 / 2^65), then sig and sketch, or the set itself."""
+    of m share one with a chance of m^2 / 2^65), then sig, or the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +104,12 @@ def _features(docs: DataFrame, keep_sets: bool = False) -> DataFrame:
                     cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
                 else:
                     full = [s for s in sets if len(s)]
-                    sigs = iter(zip(*signatures(full), strict=True)) if full else iter(())
-                    pairs = [next(sigs) if len(s) else (None, None) for s in sets]
-                    cols += [pa.array([None if p[k] is None else p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "cls", *(["set"] if keep_sets else ["sig", "sketch"])])
+                    sigs = iter(signatures(full)) if full else iter(())
+                    cols.append(pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "cls", "set" if keep_sets else "sig"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(tidy(run), f"id {kind}, n long, cls long, " + ("set binary" if keep_sets else "sig binary, sketch binary"))
+    return docs.mapInArrow(tidy(run), f"id {kind}, n long, cls long, " + ("set binary" if keep_sets else "sig binary"))
 
 
 def _rows(col: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -154,30 +142,27 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(tidy(run), "key long, cls long")
 
 
-def near_enough(sig_a: np.ndarray, sig_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Which pairs (rows of both sides) are under the distance, of sizes that a link allows, and alike in sketch."""
+def near_enough(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs (rows of both sides) are under the distance, of sizes that a link allows."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     fine = 100 * small >= SIMILAR * large
     fine[fine] = (sig_a[fine] != sig_b[fine]).sum(axis=1) <= DISTANCE
-    a, b = sketch_a[fine], sketch_b[fine]
-    some = ((a > 0) | (b > 0)).sum(axis=1)
-    fine[fine] = ((a == b) & (a > 0)).sum(axis=1) >= SKETCH_LEAST * some
     return fine
 
 
 def _under_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that are near enough."""
-    side = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
+    side = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     joined = pairs.join(side("a"), F.col("a") == F.col("cls_a")).join(side("b"), F.col("b") == F.col("cls_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 c = batch.column
-                fine = near_enough(_rows(c(2), POSITIONS, np.uint16), _rows(c(3), POSITIONS, np.uint16), _rows(c(4), RANGES, np.uint8), _rows(c(5), RANGES, np.uint8), c(6).to_numpy(), c(7).to_numpy())
+                fine = near_enough(_rows(c(2), POSITIONS, np.uint16), _rows(c(3), POSITIONS, np.uint16), c(4).to_numpy(), c(5).to_numpy())
                 yield pa.RecordBatch.from_arrays([c(0).filter(pa.array(fine)), c(1).filter(pa.array(fine))], names=["a", "b"])
 
-    return joined.select("a", "b", "sig_a", "sig_b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(tidy(run), "a long, b long")
+    return joined.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
@@ -232,7 +217,7 @@ def _forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return fine
 
 
-def bucket_forest(key: int, split: bool, comp: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, sig: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_forest(key: int, split: bool, comp: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that hold together what is near enough across components in a cell of a bucket; of several buckets that
     hold a pair, the first looks at it. split: only pairs of both sides."""
     number = key >> 48
@@ -249,7 +234,7 @@ def bucket_forest(key: int, split: bool, comp: np.ndarray, side: np.ndarray, cls
         i = rows[i]
         for a in range(0, len(i), 20_000):
             x, y = i[a : a + 20_000], j[a : a + 20_000]
-            fine = near_enough(sig[x], sig[y], sketch[x], sketch[y], n[x], n[y])
+            fine = near_enough(sig[x], sig[y], n[x], n[y])
             x, y = x[fine], y[fine]
             own = _first_shared(sig[x] == sig[y]) == number if len(x) else np.zeros(0, bool)
             left.append(x[own])
@@ -327,18 +312,17 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def _loose_pairs(classes: DataFrame, active: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (a, b) that hold together what is near enough across components in buckets with several of them."""
-    some = settle(classes.join(active, "cls", "left_semi").join(comps.select(F.col("node").alias("c"), "component"), F.col("cls") == F.col("c"), "left").select("cls", "sig", "sketch", "n", F.coalesce("component", "cls").alias("comp")), "active")
+    some = settle(classes.join(active, "cls", "left_semi").join(comps.select(F.col("node").alias("c"), "component"), F.col("cls") == F.col("c"), "left").select("cls", "sig", "n", F.coalesce("component", "cls").alias("comp")), "active")
     keys = _keys(some).join(some.select(F.col("cls").alias("c"), "comp"), F.col("cls") == F.col("c")).select("key", "cls", "comp")
     mixed = keys.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where(F.col("x") != F.col("y")).select(F.col("key").alias("k"), "members")
     members = keys.join(mixed, F.col("key") == F.col("k")).select("key", "cls", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = _cells(members).join(some.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("key", "i", "j", "side", "cls", "comp", "n", "sig", "sketch")
+    rows = _cells(members).join(some.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("key", "i", "j", "side", "cls", "comp", "n", "sig")
 
     def look(at: tuple, whole: pa.Table) -> pa.RecordBatch | None:
         if whole.num_rows < 2:
             return None
         col = lambda c: whole.column(c).to_numpy()
-        bins = lambda c, w, t: np.frombuffer(b"".join(whole.column(c).to_pylist()), t).reshape(-1, w)
-        return _pairs_batch(*bucket_forest(at[0], at[1] != at[2], col("comp"), col("side"), col("cls"), col("n"), bins("sig", POSITIONS, np.uint16), bins("sketch", RANGES, np.uint8)))
+        return _pairs_batch(*bucket_forest(at[0], at[1] != at[2], col("comp"), col("side"), col("cls"), col("n"), np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)))
 
     return _by_cell(rows, ["key", "i", "j"], look, "a long, b long")
 
@@ -374,7 +358,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     features = settle(_features(docs), "features")
-    by_class = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    by_class = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = settle(by_class, "classes")
     # first pass: every class of a bucket with the least one
     hub = F.min("cls").over(Window.partitionBy("key"))
