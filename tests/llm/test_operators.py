@@ -535,6 +535,17 @@ def test_dedup(odd, none):
     assert neardup.find(none).count() == 0 and neardup.dedup(none).count() == 0
 
 
+def test_null_ids_and_ids_of_two_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(words[:k])
+    # sets of 56, 44 and 36 shingles: links at 44/56 and 36/44, none at 36/56
+    rows = [(1, text(60)), (None, text(48)), (2, text(40)), (3, "some other text of one"), (None, "some other text of one"), (3, text(60)), (None, "alone and without any id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(map(tuple, neardup.find(df).collect())) == brute_components(rows)
+    assert {r["component_id"] for r in neardup.find(df).collect() if r["doc_id"] == 2} == {1}  # by way of a null id
+    assert key(map(tuple, neardup.dedup(df).collect())) == key([rows[0], rows[3], rows[6]])
+
+
 def test_keys_guarantee():
     """Signatures that differ in no more than DISTANCE positions share a key."""
     rng = np.random.default_rng(7)

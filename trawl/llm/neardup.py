@@ -90,26 +90,29 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _features(docs: DataFrame, keep_sets: bool = False) -> DataFrame:
-    """docs (id, text) to id, n (of the set), cls (a digest of the set; null if empty; two different sets of a corpus
+    """docs (id, text, others) to id, the others, n (of the set), cls (a digest of the set; null if empty; two different sets of a corpus
     of m share one with a chance of m^2 / 2^65), then sig, or the set itself."""
 
+    others = [c for c in docs.columns if c not in ("id", "text")]
+    names = ["id", *others, "n", "cls", "set" if keep_sets else "sig"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch, "text"):
                 sets = shingle_sets(texts)
                 n = [len(s) for s in sets]
                 cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-                cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, pa.int64())]
+                cols = [*(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", *others)), pa.array(n, pa.int64()), pa.array(cls, pa.int64())]
                 if keep_sets:
                     cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
                 else:
                     full = [s for s in sets if len(s)]
                     sigs = iter(signatures(full)) if full else iter(())
                     cols.append(pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "cls", "set" if keep_sets else "sig"])
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(tidy(run), f"id {kind}, n long, cls long, " + ("set binary" if keep_sets else "sig binary"))
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *others))
+    return docs.mapInArrow(tidy(run), f"{kept}, n long, cls long, " + ("set binary" if keep_sets else "sig binary"))
 
 
 def _rows(col: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -171,9 +174,12 @@ def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("rep").alias("id"))
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    made = _features(docs.join(ids, "id", "left_semi"), keep_sets=True)
+    made = docs.join(ids, "id", "left_semi")
+    if not wanted.where(F.col("rep").isNull()).isEmpty():  # classes of null ids only
+        made = made.unionByName(docs.where(F.col("id").isNull()))
+    made = _features(made.select("id", "text"), keep_sets=True)
     # an id may have several rows, with other texts too
-    return settle(made.join(wanted.select(F.col("cls").alias("c"), F.col("rep").alias("r")), (F.col("cls") == F.col("c")) & (F.col("id") == F.col("r"))).select("cls", "set").dropDuplicates(["cls"]), "sets")
+    return settle(made.join(wanted.select(F.col("cls").alias("c"), F.col("rep").alias("r")), (F.col("cls") == F.col("c")) & F.col("id").eqNullSafe(F.col("r"))).select("cls", "set").dropDuplicates(["cls"]), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -356,7 +362,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     component of null ids only has a null component_id, and its rows are kept. Rows of equal id are nodes of their
     own; if they are alike, they have one fate. Other columns aren't read. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _find(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _find(docs: DataFrame) -> DataFrame:
+    """docs (id, text, others) to id, the others, n, component_id, kept."""
+    others = [c for c in docs.columns if c not in ("id", "text")]
     features = settle(_features(docs), "features")
     by_class = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = settle(by_class, "classes")
@@ -374,13 +386,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = classes.select("cls", "rep").join(comps, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumnRenamed("comp", "p")
     ids = named.join(least, F.col("comp") == F.col("p")).select(F.col("cls").alias("c"), "component_id")
-    joined = features.select("id", "n", "cls").join(ids, F.col("cls") == F.col("c"), "left")
+    joined = features.select("id", *others, "n", "cls").join(ids, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return joined.select("id", *others, "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one document of each component stays, with the columns of docs. Rows of one id are
-    one document: all of them stay, or none."""
-    found = find(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of docs that find() keeps, with the columns of docs. Rows of one id and text have one fate; rows of
+    one id, or of a null id, that differ in text are judged each by its own text."""
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # with the id, it stands for the row
+    found = _find(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("_row")))
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("_gone"), "_row").distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_row")), "left_anti")
