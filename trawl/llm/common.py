@@ -47,16 +47,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back. The files outlive
-    lost executors and go when the driver ends."""
+def _folder(df: DataFrame, path: str) -> tuple[Any, Any]:
+    """The store that holds a path, and the path, as Hadoop has them."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def settle(df: DataFrame, name: str = "t") -> DataFrame:
+    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back. The files outlive lost
+    executors; they go with discard(), or when the driver ends."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    store, at = _folder(df, path)
+    store.deleteOnExit(at)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.settled_at = path
+    return made
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing will read again."""
+    for df in settled:
+        store, at = _folder(df, df.settled_at)
+        store.delete(at, True)
+
+
+#: A key of more rows than this, and than total / HOT_KEYS, is hot; so no more than HOT_KEYS are.
+HOT_ROWS, HOT_KEYS = 256, 20_000
+
+
+def spread_join(rows: DataFrame, stats: DataFrame, key: str, size: str, total: int, by: str) -> DataFrame:
+    """rows with the other columns of stats (one row for each key; `size` says how many of `rows` have it, `total` how
+    many rows there are at least). The stats of hot keys, HOT_KEYS at most, are sent to the rows, and these are dealt
+    by the column `by` too; the rest meet by a shuffle. So no task gets all rows of a hot key."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    others = [c for c in stats.columns if c != key]
+    hot = stats.where(F.col(size) > limit).select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in others))
+    # always 0, but not a constant, which the optimiser would take out of the keys of the join
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    cold = stats.where(F.col(size) <= limit).select(F.col(key).alias("_cold"), *(F.col(c).alias(f"_cold_{c}") for c in others), zero.alias("_zero"))
+    held = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), zero).otherwise(F.xxhash64(by)))
+    held = held.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_zero")), "left")
+    return held.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in others))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
