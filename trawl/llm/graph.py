@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import settle
+from trawl.llm.common import discard, settle, spread_join
 
 
-def _nearest(links: DataFrame) -> DataFrame:
-    """Each end of a link with the least node of its neighbourhood (itself counts)."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return links.join(least, F.col("u") == F.col("w")).drop("w")
+def _nearest(links: DataFrame, total: int) -> DataFrame:
+    """Each end of a link with m, the least node of its neighbourhood (itself counts). A hub's links stay spread."""
+    least = links.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("size"))
+    return spread_join(links, least, "u", "size", total, "v").select("u", "v", F.least("u", "least").alias("m"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,15 +22,17 @@ def components(links: DataFrame) -> DataFrame:
     driver. A node's neighbours are never gathered: the least one is an aggregate, joined back.
     """
     now = settle(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
-    while True:
+    check = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
+    seen = tuple(now.agg(*check).first())
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        small = _nearest(large)
+        large = _nearest(both, 2 * seen[0]).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _nearest(large, seen[0])
         made = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
-        now = settle(made.distinct(), "links")
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen or not state[0]:
+        before, now = now, settle(made.distinct(), "links")
+        discard(before)
+        state = tuple(now.agg(*check).first())
+        if state == seen:
             break
         seen = state
     # at the end every link leads from a node to its component's least node

@@ -1,11 +1,12 @@
 """MinHash near-deduplication (operator 10) by a multi-index Hamming join.
 
 1. A document's set of word shingles gives a signature of POSITIONS MinHash values, cut to 16 bits each. Documents of
-   equal sets are one class, and only classes go on.
+   equal sets (equal 128-bit digests) are one class, and only classes go on, under whole numbers of their own.
 2. Pigeonhole: of CHUNKS chunks with WIDTH positions each, two signatures that differ in at most DISTANCE positions
    have a chunk with at most one difference (2 x CHUNKS > DISTANCE). All patterns of one error in a chunk are
    enumerated: a class has a key for each chunk and each position left out. Such a pair shares a key.
-3. First pass: in each bucket of a key every class is paired with the least one; pairs under the distance are
+3. First pass: in each bucket of a key every class is paired with the least one (buckets of many members are cut into
+   parts, whose least ones are paired in turn); pairs under the distance are
    confirmed on full sets, and what is linked becomes one component. Second pass: in buckets that still hold
    several components, all pairs across them are compared by signature, in blocks; what is under the distance hangs
    together in loose groups (only enough pairs to hold them together leave a task), and the members of a loose group
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import mix64, settle, text_slices, tidy
+from trawl.llm.common import HOT_ROWS, discard, mix64, settle, spread_join, text_slices, tidy
 from trawl.llm.graph import components
 
 SHINGLE = 5
@@ -41,6 +42,8 @@ BLOCK = 3000
 MEMBERS, SHINGLES = 1000, 4_000_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Keys of large buckets that are told apart at most, by a sketch of frequent items with room for so many.
+TOP_KEYS, TRACKED = 2000, 16_384
 
 _rng = np.random.default_rng(20240501)
 _FLIP = _rng.integers(0, 2**64, POSITIONS, np.uint64)
@@ -90,19 +93,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _features(docs: DataFrame, keep_sets: bool = False) -> DataFrame:
-    """docs (id, text, others) to id, the others, n (of the set), cls (a digest of the set; null if empty; two different sets of a corpus
-    of m share one with a chance of m^2 / 2^65), then sig, or the set itself."""
+    """docs (id, text, others) to id, the others, n (of the set), digest (128 bits of the set; null if empty; two
+    different sets of a corpus of m share one with a chance of m^2 / 2^129), then sig, or the set itself."""
 
     others = [c for c in docs.columns if c not in ("id", "text")]
-    names = ["id", *others, "n", "cls", "set" if keep_sets else "sig"]
+    names = ["id", *others, "n", "digest", "set" if keep_sets else "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch, "text"):
                 sets = shingle_sets(texts)
                 n = [len(s) for s in sets]
-                cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-                cols = [*(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", *others)), pa.array(n, pa.int64()), pa.array(cls, pa.int64())]
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                cols = [*(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", *others)), pa.array(n, pa.int64()), pa.array(digest, pa.binary())]
                 if keep_sets:
                     cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
                 else:
@@ -112,7 +115,7 @@ def _features(docs: DataFrame, keep_sets: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *others))
-    return docs.mapInArrow(tidy(run), f"{kept}, n long, cls long, " + ("set binary" if keep_sets else "sig binary"))
+    return docs.mapInArrow(tidy(run), f"{kept}, n long, digest binary, " + ("set binary" if keep_sets else "sig binary"))
 
 
 def _rows(col: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -132,17 +135,33 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), -1)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """classes (cls, sig) to rows (key, cls)."""
+def _keys(classes: DataFrame, *others: str) -> DataFrame:
+    """classes (cls, sig, others) to rows (key, cls, others); others are longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = chunk_keys(_rows(batch.column(1), POSITIONS, np.uint16))
-                cls = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cls)], names=["key", "cls"])
+                keys = chunk_keys(_rows(batch.column(0), POSITIONS, np.uint16))
+                beside = [pa.array(np.repeat(c.to_numpy(), keys.shape[1])) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *beside], names=["key", "cls", *others])
 
-    return classes.select("cls", "sig").mapInArrow(tidy(run), "key long, cls long")
+    return classes.select("sig", "cls", *others).mapInArrow(tidy(run), "key long, cls long" + "".join(f", {c} long" for c in others))
+
+
+def _hub_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b): every class of a bucket with the least one. A bucket of many members is cut into parts of about
+    BLOCK; each member is paired with its part's least one, and those with the bucket's."""
+    keys = _keys(classes)
+    top = keys.agg(F.expr(f"approx_top_k(key, {TOP_KEYS}, {TRACKED})").alias("top")).select(F.inline("top"))
+    top = top.where(F.col("count") > HOT_ROWS).select(F.col("item").alias("hot"), F.ceil(F.col("count") / BLOCK).alias("parts"))
+    held = keys.join(F.broadcast(top), F.col("key") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("parts")), F.lit(0).cast("long")))
+    hub = F.min("cls").over(Window.partitionBy("key", "part"))
+    held = settle(held.withColumn("hub", hub).where((F.col("cls") != F.col("hub")) | F.col("hot").isNotNull()).select("hot", "hub", "cls"), "hubs")
+    hubs = held.where(F.col("cls") == F.col("hub")).withColumn("first", F.min("hub").over(Window.partitionBy("hot"))).where(F.col("first") != F.col("hub"))
+    pairs = held.where(F.col("cls") != F.col("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b")).unionByName(hubs.select(F.col("first").alias("a"), F.col("hub").alias("b")))
+    made = settle(pairs.distinct(), "pairs")
+    discard(held)
+    return made
 
 
 def near_enough(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -170,7 +189,7 @@ def _under_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
     """(cls, set) of the needed classes, from the text of one document of each."""
-    wanted = settle(classes.join(needed, "cls", "left_semi").select("cls", "rep"), "needed")
+    wanted = settle(classes.join(needed, "cls", "left_semi").select("cls", "rep", "digest"), "needed")
     ids = wanted.select(F.col("rep").alias("id"))
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -179,7 +198,10 @@ def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
         made = made.unionByName(docs.where(F.col("id").isNull()))
     made = _features(made.select("id", "text"), keep_sets=True)
     # an id may have several rows, with other texts too
-    return settle(made.join(wanted.select(F.col("cls").alias("c"), F.col("rep").alias("r")), (F.col("cls") == F.col("c")) & F.col("id").eqNullSafe(F.col("r"))).select("cls", "set").dropDuplicates(["cls"]), "sets")
+    same = (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("rep"))
+    sets = settle(made.join(wanted.withColumnRenamed("digest", "d"), same).select("cls", "set").dropDuplicates(["cls"]), "sets")
+    discard(wanted)
+    return sets
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,9 +341,10 @@ def _cells(rows: DataFrame) -> DataFrame:
 def _loose_pairs(classes: DataFrame, active: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (a, b) that hold together what is near enough across components in buckets with several of them."""
     some = settle(classes.join(active, "cls", "left_semi").join(comps.select(F.col("node").alias("c"), "component"), F.col("cls") == F.col("c"), "left").select("cls", "sig", "n", F.coalesce("component", "cls").alias("comp")), "active")
-    keys = _keys(some).join(some.select(F.col("cls").alias("c"), "comp"), F.col("cls") == F.col("c")).select("key", "cls", "comp")
-    mixed = keys.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where(F.col("x") != F.col("y")).select(F.col("key").alias("k"), "members")
-    members = keys.join(mixed, F.col("key") == F.col("k")).select("key", "cls", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    keys = settle(_keys(some, "comp"), "keys")
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where(F.col("x") != F.col("y")).select("key", "members")
+    members = spread_join(keys, mixed, "key", "members", keys.count(), "cls").where(F.col("members").isNotNull())
+    members = members.select("key", "cls", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = _cells(members).join(some.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("key", "i", "j", "side", "cls", "comp", "n", "sig")
 
     def look(at: tuple, whole: pa.Table) -> pa.RecordBatch | None:
@@ -370,31 +393,35 @@ def _find(docs: DataFrame) -> DataFrame:
     """docs (id, text, others) to id, the others, n, component_id, kept."""
     others = [c for c in docs.columns if c not in ("id", "text")]
     features = settle(_features(docs), "features")
-    by_class = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = settle(by_class, "classes")
-    # first pass: every class of a bucket with the least one
-    hub = F.min("cls").over(Window.partitionBy("key"))
-    pairs = settle(_keys(classes).withColumn("hub", hub).where(F.col("cls") != F.col("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    active = settle(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "members")
-    near = settle(_under_distance(pairs, classes), "near")
+    by_class = features.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("members"))
+    # numbers are given once, as the table is written
+    classes = settle(by_class.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    pairs = _hub_pairs(classes)
     ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select("b")).distinct()
-    links = settle(_confirm(near, _sets(docs, classes, ends(near))), "confirmed")
+    active = settle(ends(pairs), "members")
+    near = settle(_under_distance(pairs, classes), "near")
+    sets = _sets(docs, classes, ends(near))
+    links = settle(_confirm(near, sets), "confirmed")
+    discard(pairs, near, sets)
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # second pass: pairs across components
     again = settle(_second_pass(docs, classes, active, comps), "again")
     comps = components(links.unionByName(again).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.select("cls", "rep").join(comps, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumnRenamed("comp", "p")
-    ids = named.join(least, F.col("comp") == F.col("p")).select(F.col("cls").alias("c"), "component_id")
-    joined = features.select("id", *others, "n", "cls").join(ids, F.col("cls") == F.col("c"), "left")
-    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = classes.select("digest", "cls", "rep", "members").join(comps, F.col("cls") == F.col("node"), "left").select("digest", "rep", "members", F.coalesce("component", "cls").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes"))
+    ids = spread_join(named, least, "comp", "classes", classes.count(), "digest").select("digest", "component_id", "members")
+    joined = spread_join(features.select("id", *others, "n", "digest"), ids, "digest", "members", features.count(), F.monotonically_increasing_id())
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select("id", *others, "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that find() keeps, with the columns of docs. Rows of one id and text have one fate; rows of
-    one id, or of a null id, that differ in text are judged each by its own text."""
-    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # with the id, it stands for the row
-    found = _find(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("_row")))
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("_gone"), "_row").distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_row")), "left_anti")
+    """The rows of docs that find() keeps, with the columns of docs, whatever their names. Rows of one id and text have
+    one fate; rows of one id, or of a null id, that differ in text are judged each by its own text."""
+    text = F.col(text_col)
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))  # with the id, it stands for the row
+    found = _find(docs.select(F.col(id_col).alias("id"), text.alias("text"), digest.alias("row")))
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    every = docs.select(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(docs.columns)), F.col(id_col).alias("own_id"), digest.alias("own_row"))
+    kept = every.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_row") == F.col("gone_row")), "left_anti")
+    return kept.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))
