@@ -1,5 +1,9 @@
 """Quality rules (operator 4): thresholds follow each (language, source) group's own distribution, read from
-mergeable quantile sketches (KLL), in place of fixed cutoffs; the thresholds are joined back to the documents.
+mergeable quantile sketches, in place of fixed cutoffs; the thresholds are joined back to the documents.
+
+A sketch is a histogram of a measure, in thousandths, over buckets that are exact below 2 x PARTS and then PARTS to
+each doubling: quantiles are within a share of 1 / PARTS, a sketch is bounded whatever the size of its group, sketches
+merge by adding counts, and neither order nor number of merges changes one, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import WORD, settle, text_slices, tidy
@@ -20,11 +24,14 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 #: Each measure's upper threshold lies above the group's high decile by SPREAD times the distance from the median to
 #: the high decile. Where both are (nearly) one value, as with measures that are 0 for most documents, the threshold
-#: lies above the median by what is given here (the measures' own units).
-TIE = {"symbol_share": 0.02, "dup_line_share": 0.2, "repeat_share": 0.1, "word_length": 1.0}
+#: lies above the median by what is given here (thousandths of the measures' own units).
+TIE = {"symbol_share": 20, "dup_line_share": 200, "repeat_share": 100, "word_length": 1000}
 SPREAD = 2.0
-#: Smaller groups use the sketch of their language, and that of all documents if it is small too.
-LEAST_GROUP = 40
+#: Buckets to each doubling, a power of two.
+PARTS = 64
+#: A group's quantiles are averaged with those of its language, and these with those of all documents; the wider ones
+#: weigh as much as so many documents, at every size.
+PRIOR = 40
 
 
 def repeated_words(words: list[list[str]]) -> np.ndarray:
@@ -93,38 +100,63 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
 
 
 def _measures() -> dict[str, Column]:
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    """The measures in whole thousandths."""
+    per = lambda a, b: F.expr(f"CASE WHEN {b} > 0 THEN ({a} * 1000) div {b} ELSE 0 END")
     return {"symbol_share": per("n_symbols", "word_chars"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")}
 
 
+def bucket_of(value: str) -> Column:
+    """The bucket of a whole number."""
+    bits = f"(length(bin({value})) - {PARTS.bit_length()})"
+    return F.expr(f"CASE WHEN {value} < {2 * PARTS} THEN {value} ELSE {bits} * {PARTS} + shiftright({value}, {bits}) END").cast("long")
+
+
+def largest_in(bucket: str) -> Column:
+    """The largest whole number of a bucket."""
+    doublings = f"CAST(greatest({bucket} div {PARTS} - 1, 0) AS int)"
+    return F.expr(f"shiftleft({bucket} - {doublings} * {PARTS} + 1, {doublings}) - 1")
+
+
+def _quantiles(sketch: DataFrame, names: list[str]) -> DataFrame:
+    """Per group (names): n, and each measure's median and high decile (high), from sketches (names, measure, bucket,
+    times). A group's buckets are few, however many its documents."""
+    own = Window.partitionBy(*names, "measure")
+    summed = sketch.withColumn("up_to", F.sum("times").over(own.orderBy("bucket"))).withColumn("all", F.sum("times").over(own))
+    found = summed.groupBy(*names, "measure").agg(F.first("all").alias("n"), F.min(F.when(2 * F.col("up_to") >= F.col("all"), F.col("bucket"))).alias("b5"), F.min(F.when(10 * F.col("up_to") >= 9 * F.col("all"), F.col("bucket"))).alias("b9"))
+    found = found.withColumn("median", largest_in("b5")).withColumn("high", largest_in("b9"))
+    pick = lambda k, q: F.max(F.when(F.col("measure") == k, F.col(q))).cast("double").alias(f"{q}_{k}")
+    return found.groupBy(*names).agg(F.first("n").cast("double").alias("n"), *(pick(k, q) for k in TIE for q in ("median", "high")))
+
+
 def thresholds(measured: DataFrame, n_groups: int) -> DataFrame:
-    """Per group (_g0, ...): the upper threshold of each measure. Sketches are made once for each group, then
-    merged for each language and for all, so the documents are read once."""
+    """Per group (_g0, ...): the upper threshold of each measure, in thousandths. Sketches are made once for each
+    group, then merged for each language and for all, so the documents are read once."""
     names = [f"_g{i}" for i in range(n_groups)]
-    sketched = measured.where(F.col("n_words") > 0).select(*names, *(c.alias(k) for k, c in _measures().items()))
-    # KLL compacts at random, so thresholds of large groups may differ a little between runs
-    own = settle(sketched.groupBy(*names).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in TIE)), "sketches")
-    full = own
-    for depth in range(1, n_groups):  # the sketches of larger groups, beside each group's own
-        wider = own.groupBy(*names[:depth]).agg(F.sum("n").alias(f"n_{depth}"), *(F.kll_merge_agg_double(k).alias(f"{k}_{depth}") for k in TIE))
-        same = [F.col(g).eqNullSafe(F.col(f"r{g}")) for g in names[:depth]]
-        full = full.join(wider.withColumnsRenamed({g: f"r{g}" for g in names[:depth]}), same, "left").drop(*(f"r{g}" for g in names[:depth]))
-    overall = own.agg(*(F.kll_merge_agg_double(k).alias(k) for k in TIE)).first()  # one row of a few KB
-    for k, tie in TIE.items():
-        sketch = F.lit(None if overall[k] is None else bytes(overall[k])).cast("binary")
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), c.alias("value")) for k, c in _measures().items())))
+    each = measured.where(F.col("n_words") > 0).select(*names, values.alias("m")).select(*names, "m.measure", "m.value")
+    own = settle(each.withColumn("bucket", bucket_of("value")).groupBy(*names, "measure", "bucket").agg(F.count("*").alias("times")), "sketches")
+    quantities = [f"{q}_{k}" for k in TIE for q in ("median", "high")]
+    full = _quantiles(own, names)
+    overall = _quantiles(own.groupBy("measure", "bucket").agg(F.sum("times").alias("times")), []).first()  # eight numbers
+    for depth in range(1, n_groups):  # quantiles of the wider groups, beside each group's own
+        wide = own.groupBy(*names[:depth], "measure", "bucket").agg(F.sum("times").alias("times"))
+        wide = _quantiles(wide, names[:depth]).withColumnsRenamed({c: f"{c}_at{depth}" for c in ("n", *quantities)} | {g: f"r{g}" for g in names[:depth]})
+        full = full.join(wide, [F.col(g).eqNullSafe(F.col(f"r{g}")) for g in names[:depth]], "left").drop(*(f"r{g}" for g in names[:depth]))
+    for q in quantities:
+        mean = F.lit(overall[q]).cast("double")
         for depth in range(1, n_groups):
-            sketch = F.when(F.col(f"n_{depth}") >= LEAST_GROUP, F.col(f"{k}_{depth}")).otherwise(sketch)
-        sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(k)).otherwise(sketch)
-        median, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.9))
-        full = full.withColumn(f"most_{k}", F.greatest(median + tie, high + SPREAD * (high - median)))
-    return full.select(*names, *(f"most_{k}" for k in TIE))
+            mean = (F.col(f"n_at{depth}") * F.col(f"{q}_at{depth}") + PRIOR * mean) / (F.col(f"n_at{depth}") + PRIOR)
+        full = full.withColumn(q, (F.col("n") * F.col(q) + PRIOR * mean) / (F.col("n") + PRIOR))
+    most = [F.greatest(F.col(f"median_{k}") + tie, F.col(f"high_{k}") + SPREAD * (F.col(f"high_{k}") - F.col(f"median_{k}"))).alias(f"most_{k}") for k, tie in TIE.items()]
+    return full.select(*names, *most)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A null or empty text has no words, fails the base rules and isn't kept. A null language or source is a group
-    like any other. Repeated rows are returned as often as they occur. An empty table gives no rows.
+    like any other. Repeated rows are returned as often as they occur. An empty table gives no rows. Texts of any
+    length are read whole. A measure that equals its threshold is fine. Reruns agree.
     """
     measured = settle(measure(docs, id_col, text_col, groups), "measures")
     limits = thresholds(measured, len(groups))
