@@ -3,7 +3,8 @@ of an id, the high bit first; a plane's tokens are those of the plane before, ze
 select on the planes give access to any token, counts and places of occurrences without unpacking the rest.
 
 File: MAGIC; header length (4 bytes, little-endian); header (JSON); sections. The planes lie in blocks of
-BLOCK_BYTES bytes, each compressed by itself; a directory has each block's place and the ones before it.
+BLOCK_BYTES bytes, each compressed by itself; a directory has each block's place and the ones before it, which serves
+rank and, by binary search, select: either unpacks the blocks that it needs.
 A store that only Spark can write to gets the files as rows of a Parquet table (column `file`).
 """
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trawl.llm.common import mix64, settle, text_slices, tidy
 
@@ -31,10 +33,10 @@ FILE_TOKENS = 1 << 19
 END_ID = 0
 #: Words of the table; about 30 bytes each.
 TABLE_ROWS = 2_000_000
-#: Longer words aren't kept. A word's key is a polynomial in its bytes, modulo 2^64; for words of this length two
-#: distinct ones of m share a key with a chance of about m^2 / 2^65.
+#: Longer words aren't kept.
 KEPT_BYTES = 64
-FACTOR = np.uint64(0xD6E8FEB86659FD93)
+#: How many bytes of eight count, as masks.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: A space beside other white space: where such a text is split depends on more than one word.
 MIXED_SPACE = re.compile(r" \s|\s ")
 ASCII_SPACE = np.isin(np.arange(256), (*range(9, 14), *range(28, 33)))
@@ -131,14 +133,36 @@ class WaveletFile:
         a, b = self._range(token, start, self.n if end is None else end)
         return b - a
 
+    def _select(self, plane: int, one: bool, numbers: np.ndarray) -> np.ndarray:
+        """The places of the bits of a kind with these numbers (from 0)."""
+        before, span = self.planes[plane][1], 8 * BLOCK_BYTES
+        counts = before if one else np.arange(len(before)) * span - before
+        block = np.searchsorted(counts, numbers, "right") - 1
+        out = np.empty(len(numbers), np.int64)
+        for k in np.unique(block).tolist():
+            bits = np.unpackbits(self._block(plane, k), bitorder="little")
+            mine = block == k
+            out[mine] = k * span + np.flatnonzero(bits == one)[numbers[mine] - counts[k]]
+        return out
+
+    def _places(self, token: int, first: int, last: int) -> np.ndarray:
+        """The places of the occurrences of a token from number first up to last, from the last plane up."""
+        a, _ = self._range(token, 0, self.n)
+        at = np.arange(a + first, a + last)
+        for k in range(self.bits - 1, -1, -1) if len(at) else ():
+            one = bool(token >> (self.bits - 1 - k) & 1)
+            at = self._select(k, one, at - self.zeros[k] * one)
+        return at
+
+    def select(self, token: int, number: int) -> int:
+        """The place of the occurrence of a token with this number, from 0."""
+        if not 0 <= number < self.count(token):
+            raise IndexError(number)
+        return int(self._places(token, number, number + 1)[0])
+
     def locate(self, token: int) -> np.ndarray:
-        """The places of a token: select, from the last plane up."""
-        a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b)
-        for k in range(self.bits - 1, -1, -1) if b > a else ():
-            ones = self._plane(k)
-            at = np.flatnonzero(ones)[at - self.zeros[k]] if token >> (self.bits - 1 - k) & 1 else np.flatnonzero(~ones)[at]
-        return np.sort(at)
+        """All places of a token."""
+        return self._places(token, 0, self.count(token))
 
     def decode(self) -> np.ndarray:
         """All tokens, from the last plane up."""
@@ -154,12 +178,13 @@ class WaveletFile:
 
 
 class WordTable:
-    """Words' ids by the words' hashes, in arrays: sorted keys, and places in a pool of ids. At most TABLE_ROWS words
-    are held; then the older half goes."""
+    """Words' ids by two hashes of the words, in arrays: sorted keys, checks, and places in a pool of ids. At most
+    TABLE_ROWS words are held; then the older half goes."""
 
     def __init__(self, kind: str) -> None:
         self.kind = kind
-        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # old and recent: keys, places, lengths
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.runs = [none, none]  # old and recent: keys, checks, places, lengths
         self.pool, self.used = np.zeros(1 << 16, kind), 0
 
     def add_ids(self, ids: np.ndarray) -> int:
@@ -172,23 +197,25 @@ class WordTable:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (-1 if unknown) and lengths for sorted keys."""
-        place, length = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for known, at, n in self.runs:
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (-1 if unknown), lengths, and whether another word has the key, for sorted keys."""
+        place, length, taken = np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for known, second, at, n in self.runs:
             if len(known):
                 i = np.searchsorted(known, keys)
                 i[i == len(known)] = 0
                 hit = known[i] == keys
-                place[hit], length[hit] = at[i[hit]], n[i[hit]]
-        return place, length
+                same = hit & (second[i] == checks)
+                place[same], length[same] = at[i[same]], n[i[same]]
+                taken |= hit & ~same
+        return place, length, taken
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """New words with their ids, one after the other; their places."""
         ends = np.cumsum(lengths)
         at = self.add_ids(ids) + ends - lengths
         old, recent = self.runs
-        recent = self._merged(recent, (keys, at, lengths))
+        recent = self._merged(recent, (keys, checks, at, lengths))
         if len(recent[0]) > max(1 << 16, len(old[0]) // 4):
             old, recent = self._merged(old, recent), tuple(x[:0] for x in recent)
         self.runs = [old, recent]
@@ -196,12 +223,12 @@ class WordTable:
 
     def trim(self) -> None:
         """Drops the older half if there are too many words; before a round, as places change."""
-        keys, at, n = self._merged(*self.runs)
+        keys, checks, at, n = self._merged(*self.runs)
         if len(keys) <= TABLE_ROWS:
             return
         cut = int(np.median(at))
         kept = at >= cut
-        self.runs = [(keys[kept], at[kept] - cut, n[kept]), tuple(x[:0] for x in (keys, at, n))]
+        self.runs = [(keys[kept], checks[kept], at[kept] - cut, n[kept]), tuple(x[:0] for x in (keys, checks, at, n))]
         self.pool, self.used = self.pool[cut : self.used].copy(), self.used - cut
 
     @property
@@ -210,9 +237,8 @@ class WordTable:
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
 
 class Encoder:
@@ -235,6 +261,8 @@ class Encoder:
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
         self.table = WordTable(self.kind)
+        # drawn for each process, so that no text can be made to have two words of one key
+        self.seeds = np.random.default_rng().integers(0, 2**64, 2, np.uint64)
         # ids with a space in them; the library writes it as U+0120
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -280,9 +308,10 @@ class Encoder:
         heads = np.where(per_text > 0, heads, ends)
         firsts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip((ends - sizes).tolist(), heads.tolist(), strict=True)]
         lead = [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
-        place, length = self._places(data, buffer, spaces + 1, stops)
+        place, length, kept = self._places(data, spaces + 1, stops)
         total = np.cumsum(length)
         ids = self.table.pool.take(np.arange(int(total[-1]) if len(total) else 0) + np.repeat(place - total + length, length))
+        self.table.used = kept  # what words outside the table had is given up
         body, bounds = ids.tobytes(), (np.concatenate([[0], total]) * self.width).tolist()
         last = np.cumsum(per_text)
         return [first + body[bounds[a] : bounds[b]] for first, a, b in zip(lead, (last - per_text).tolist(), last.tolist(), strict=True)]
@@ -300,30 +329,41 @@ class Encoder:
                 whole.update(i for i, t in enumerate(texts) if special in t)
         return whole
 
-    def _places(self, data: bytes, buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the pool the ids of each word lie, and how many they are."""
+    def _keys(self, data: bytes, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each word (its place and length), over its bytes by eights."""
+        eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+        first, second = (mix64(n.astype(np.uint64) + s) for s in self.seeds)
+        some, k = np.arange(len(n)), 0
+        while len(some):
+            part = eights[start[some] + k] & MASKS[np.minimum(n[some] - k, 8)]
+            first[some], second[some] = mix64(first[some] ^ part), mix64(second[some] + part * self.seeds[1])
+            k += 8
+            some = some[n[some] > k]
+        return first, second
+
+    def _places(self, data: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where in the pool the ids of each word lie, how many they are, and how much of the pool the table holds:
+        words that are too long for the table, or share a key with another, lie beyond it."""
         n = stop - start
         place, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         short = np.flatnonzero(n <= KEPT_BYTES)
-        # the longest first, so that those with a k-th byte are a prefix
-        short = short[np.argsort(KEPT_BYTES - n[short].astype(np.uint8), kind="stable")]
-        at, keys = start[short], n[short].astype(np.uint64)
-        reach = len(short) - np.cumsum(np.bincount(n[short], minlength=1))
-        for k, m in enumerate(reach[:-1].tolist()):
-            keys[:m] = keys[:m] * FACTOR + buffer[at[:m] + k]
-        distinct, first, number = np.unique(mix64(keys), return_index=True, return_inverse=True)
-        where, many = self.table.find(distinct)
-        unknown = np.flatnonzero(where < 0)
+        keys, checks = self._keys(data, start[short], n[short])
+        distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        where, many, taken = self.table.find(distinct, checks[first])
+        unknown = np.flatnonzero((where < 0) & ~taken)
         if len(unknown):
             at = short[first[unknown]]
             words = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
             ids, counts = self._word_ids(words)
-            where[unknown], many[unknown] = self.table.add(distinct[unknown], ids, counts), counts
+            where[unknown], many[unknown] = self.table.add(distinct[unknown], checks[first[unknown]], ids, counts), counts
         place[short], length[short] = where[number], many[number]
-        for w in np.flatnonzero(n > KEPT_BYTES).tolist():
+        kept = self.table.used
+        single = n > KEPT_BYTES
+        single[short] = taken[number] | (checks != checks[first][number])
+        for w in np.flatnonzero(single).tolist():
             ids, counts = self._word_ids([data[start[w] : stop[w]].decode("utf-8", "surrogatepass")])
             place[w], length[w] = self.table.add_ids(ids), counts[0]
-        return place, length
+        return place, length, kept
 
 
 @functools.cache
@@ -333,7 +373,10 @@ def _encoder(path: str) -> Encoder:
 
 def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs, in ascending order of id_col, to wavelet files in the shared folder; each document ends with
-    END_ID. Returns the table of files: part, seq (their order), n_docs, n_tokens, file."""
+    END_ID. Rows of equal id are in order of a hash of their texts, so they may lie in several files. Returns the
+    table of files: part, seq (their order), n_docs, n_tokens, file."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: files are in its order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -366,8 +409,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    dealt = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    return settle(dealt.mapInArrow(tidy(run), "part int, seq int, n_docs long, n_tokens long, file binary"), "wavelet")
+    dealt = rows.withColumn("_hash", F.xxhash64("_text")).repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash", "_text")
+    return settle(dealt.select("_id", "_text").mapInArrow(tidy(run), "part int, seq int, n_docs long, n_tokens long, file binary"), "wavelet")
 
 
 def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -397,7 +440,8 @@ def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files of docs and reads them back: id_col (long), start, n_tokens (with the end), ids_crc32.
 
-    A null text counts as empty (one token, its end). Rows of equal id lie side by side, in order of their texts;
-    null ids come first. Other columns aren't read. An empty table gives no files and no rows.
+    A null text counts as empty (one token, its end). Rows of equal id lie side by side, in order of a hash of their
+    texts; null ids come first; ids that aren't whole numbers are an error. Other columns aren't read. A text of any
+    length is encoded whole. An empty table gives no files and no rows.
     """
     return read_files(write_files(docs, tokenizer_path, id_col, text_col), id_col)
