@@ -15,21 +15,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import Memo, learnable, text_slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: The field is fitted on at most about so many labelled documents of each class, and so many characters of
-#: them (whole rows, drawn by a hash of the id).
+#: The field is fitted on at most about so many labelled documents of each class (drawn by a hash of the id), and so
+#: many characters of each, in whole texts; texts of over LONG_CHARS come last.
 SAMPLE_DOCS = 2500
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS, LONG_CHARS = 4_000_000, 100_000
 LOG_ODDS = 2.5
 LEAST_DOCS = 3
 THRESHOLD = 0.3
 TABLE_ROWS = 400_000
 KEPT_CHARS = 64
+#: Longer texts are cut into parts of so many words, which are worked on side by side.
+PART = 1024
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, in order; lower() keeps all places but for one letter's."""
+    return LETTERS.findall(text.replace("\u0130", "i").lower())
 
 
 @dataclass
@@ -56,23 +63,68 @@ def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return order, starts, [len(order), *alive[1 : int(sizes.max())].tolist()]
 
 
+def _products(e: np.ndarray, start: np.ndarray, size: np.ndarray, t: tuple[float, float, float, float]) -> np.ndarray:
+    """For each part (start, size) the product of its moves, from a word to the next and that word's own weight, as a
+    2 x 2 matrix up to a factor."""
+    out = np.tile([1.0, 0.0, 0.0, 1.0], (len(start), 1))  # by rows
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        x = e[start[some] + k]
+        a, b, c, d = out[some].T
+        made = np.stack([a * t[0] + b * t[2], (a * t[1] + b * t[3]) * x, c * t[0] + d * t[2], (c * t[1] + d * t[3]) * x], axis=1)
+        out[some] = made / made.max(axis=1, keepdims=True)
+    return out
+
+
+def _between(e: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, t: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """What the parts of a text hand over to one another: the forward ratio at the word before each part (of no use for
+    a first part), and the backward ratio at its last word."""
+    before, after = np.ones(len(start)), np.ones(len(start))
+    parts = np.flatnonzero(np.bincount(owner, minlength=1)[owner] > 1)
+    if len(parts):
+        first = np.ones(len(parts), bool)
+        first[1:] = owner[parts[1:]] != owner[parts[:-1]]
+        held = _products(e, start[parts] + first, size[parts] - first, t).tolist()
+        ratio = 1.0
+        for k, c in enumerate(parts.tolist()):
+            if first[k]:
+                ratio = float(e[start[c]])
+            else:
+                before[c] = ratio
+            m = held[k]
+            ratio = min(max((m[1] + m[3] * ratio) / (m[0] + m[2] * ratio), 1e-200), 1e200)
+        for k in range(len(parts) - 1, 0, -1):
+            if not first[k]:
+                m, b = held[k], float(after[parts[k]])
+                after[parts[k] - 1] = (m[2] + m[3] * b) / (m[0] + m[1] * b)
+    return before, after
+
+
 def marginals(scores: np.ndarray, sizes: np.ndarray, moves: tuple[float, float, float, float], pairs: bool = False):
     """P(toxic) of every word; sequences lie one after the other, sizes has their lengths. With pairs, also the
     expected number of each move (4 values). Ratios of the two states stand for the forward and backward values."""
     t00, t01, t10, t11 = np.exp(np.array(moves))
     e = np.exp(np.clip(scores, -30, 30))
-    _, starts, alive = _layout(sizes)
+    times = -(-sizes // PART)
+    owner = np.repeat(np.arange(len(sizes)), times)
+    start = (np.cumsum(sizes) - sizes)[owner] + (np.arange(len(owner)) - (np.cumsum(times) - times)[owner]) * PART
+    size = np.minimum(PART, np.cumsum(sizes)[owner] - start)
+    order, starts, alive = _layout(size)
     fwd, bwd = np.empty(len(e)), np.ones(len(e))
     if not alive:
         return (fwd, np.zeros(4)) if pairs else fwd
-    r = e[starts]
+    before, after = _between(e, owner, start, size, (t00, t01, t10, t11))
+    begins = np.isin(start, (np.cumsum(sizes) - sizes)[sizes > 0])
+    r = np.where(begins, e[start], e[start] * (t01 + t11 * before) / (t00 + t10 * before))[order]
     fwd[starts] = r
     for t in range(1, len(alive)):
         k = alive[t]
         at, r = starts[:k] + t, r[:k]
         r = np.clip(e[at] * (t01 + t11 * r) / (t00 + t10 * r), 1e-200, 1e200)
         fwd[at] = r
-    b = np.ones(alive[-1])
+    bwd[start + size - 1] = after
+    after = after[order]
+    b = after[: alive[-1]]
     for t in range(len(alive) - 2, -1, -1):
         k, nxt = alive[t], alive[t + 1]
         at = starts[:nxt] + t
@@ -80,7 +132,7 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, moves: tuple[float, float,
         b = (t10 + t11 * x) / (t00 + t01 * x)
         bwd[at] = b
         if k > nxt:
-            b = np.concatenate([b, np.ones(k - nxt)])
+            b = np.concatenate([b, after[nxt:k]])
     odds = fwd * bwd
     p = odds / (1 + odds)
     if not pairs:
@@ -115,7 +167,7 @@ def summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 12, rate: float = 0.3) -> ToxicField:
-    docs = [LETTERS.findall(t.lower()) for t in texts]
+    docs = [words_of(t) for t in texts]
     model = ToxicField()
     if not any(toxic) or all(toxic):
         return model
@@ -180,7 +232,7 @@ def word_score(model: ToxicField, word: str) -> float:
 
 def tag(model: ToxicField, table: Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of all words, the number of words per text, and the texts' scores."""
-    docs = [LETTERS.findall(t.lower()) for t in texts]
+    docs = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in docs], np.int64)
     distinct = {w for ws in docs for w in ws}
     long = {w: word_score(model, w) for w in distinct if len(w) > KEPT_CHARS}
@@ -194,11 +246,8 @@ def tag(model: ToxicField, table: Memo, texts: list[str]) -> tuple[np.ndarray, n
 
 
 def spans_of(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
-    """Runs of words with a marginal of `least` or more, as code point offsets of the text. Where lower case
-    changes the number of words, none can be told."""
-    found = list(LETTERS.finditer(text))
-    if len(found) != len(p):
-        return []
+    """Runs of words with a marginal of `least` or more, as code point offsets of the text."""
+    found = list(LETTERS.finditer(text.replace("\u0130", "i").lower()))  # as words_of() has them
     out: list[dict] = []
     for i in np.flatnonzero(p >= least):
         if out and out[-1]["_i"] == i - 1:
@@ -209,8 +258,9 @@ def spans_of(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicField:
-    """Fits on a bounded sample of the labelled rows that may be learnt from. Of several labels of an id the largest
-    counts; rows without a label, an id or a text aren't learnt from."""
+    """Fits on a bounded sample (see SAMPLE_DOCS) of the labelled rows that may be learnt from. Of several labels of an
+    id the largest counts, of several texts the first by code point; rows without a label, an id or a text aren't
+    learnt from."""
     spark = docs.sparkSession
     pool = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & learnable("i")).groupBy("i").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in pool.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -222,10 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # about 2 x SAMPLE_DOCS ids at most: a broadcast of proven size
     ids = F.broadcast(spark.createDataFrame(drawn, f"i {docs.schema[id_col].dataType.simpleString()}, y int"))
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where(F.col("x").isNotNull()).join(ids, "i")
-    chars = rows.agg(F.sum(F.length("x"))).first()[0] or 0
-    if chars > SAMPLE_CHARS:
-        rows = rows.where(F.pmod(F.xxhash64("i", F.lit(33)), F.lit(1 << 30)) < (1 << 30) * (SAMPLE_CHARS / chars))
-    got = sorted(((r["i"], r["x"], r["y"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
+    rows = rows.groupBy("i", "y").agg(F.min("x").alias("x"))  # one text for each id
+    order = Window.partitionBy("y").orderBy(F.length("x") > LONG_CHARS, F.xxhash64("i", F.lit(33)), "i")
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("chars", F.sum(F.length("x")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    got = sorted(((r["i"], r["x"], r["y"]) for r in rows.where((F.col("place") == 1) | (F.col("chars") <= SAMPLE_CHARS)).select("i", "x", "y").collect()), key=lambda r: (r[0], r[1]))
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
@@ -236,7 +286,8 @@ def score(docs: DataFrame, model: ToxicField, id_col: str = "doc_id", text_col:
     """Per row of docs: id_col, held_out, score, predicted (1 if score >= 0.3), and with spans the toxic spans.
 
     A null text counts as empty; its score is that of a document without words. Null ids and repeated rows are
-    returned as they are; other columns aren't read. An empty table gives no rows.
+    returned as they are; other columns aren't read. An empty table gives no rows. Texts of any length are read
+    whole. Equal texts have equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
