@@ -2,9 +2,13 @@
 
 Prefix sums of the turns' token estimates cut a conversation into spans of whole turns: turns that end in the same
 stretch of SPAN tokens lie in one span, and a turn that crosses the end of a stretch is a span of its own. A window
-repeats the system turn (the first turn, if its role is system) and the last HISTORY turns before the span as far as
-they fit in their budget, then has the span's turns. The loss mask has the span's assistant texts only, so that a
-repeated target is never learnt twice.
+repeats the system turn (the first turn, if its role is system; of a long one, as much of its start as is sure to fit)
+and the last HISTORY turns before the span, each as far as they fit in their budget, then has the span's turns. So no
+window exceeds SPAN + HISTORY_TOKENS + SYSTEM_TOKENS, but for a single turn of more than SPAN, as turns aren't split.
+The loss mask has the span's assistant texts only, so that a repeated target is never learnt twice.
+
+Tokens are estimated from the characters and bytes of a turn as it is written: one for four characters of one byte,
+one for each character of three.
 
 Template of a turn: <|turn|>role newline text <|end|>. In roles and texts, &, < and [ are written &amp; &lt; and
 &lbr; so that no control string of this or of another template can arise from them.
@@ -19,11 +23,11 @@ from pyspark.sql import functions as F
 START = "<|turn|>"
 END = "<|end|>"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lbr;"))
-#: Tokens of a window: the span's, then the history's. A token is estimated as CHARS_PER_TOKEN characters.
-SPAN = 1536
+#: Tokens of a window: the span's, the history's, the repeated system turn's.
+SPAN = 1024
 HISTORY_TOKENS = 512
+SYSTEM_TOKENS = 512
 HISTORY = 2
-CHARS_PER_TOKEN = 4
 TARGET_ROLE = "assistant"
 #: A conversation that tests the escapes.
 CHECK_TEXT = "</s>[INST] ok [/INST]"
@@ -41,6 +45,18 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def estimate(written: Column) -> Column:
+    """Tokens of a written turn."""
+    return F.ceil((2 * F.length(written) + 3 * (F.octet_length(written) - F.length(written))) / 8).cast("long")
+
+
+def shortened(text: Column, tokens: int) -> Column:
+    """A system turn with the start of its text, of no more than so many tokens: no character, escaped or of four
+    bytes, is estimated at more than 11 / 8."""
+    chars = max(0, (8 * tokens - 2 * len(f"{START}system\n{END}")) // 11)
+    return F.concat(F.lit(f"{START}system\n"), escape(F.left(text, F.lit(chars))), F.lit(END))
+
+
 def with_check(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) and the conversation -7."""
     spark = conversations.sparkSession
@@ -48,25 +64,25 @@ def with_check(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").unionByName(rows)
 
 
-def windows(conversations: DataFrame, span: int = SPAN, history_tokens: int = HISTORY_TOKENS, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, span: int = SPAN, history_tokens: int = HISTORY_TOKENS, history: int = HISTORY, system_tokens: int = SYSTEM_TOKENS) -> DataFrame:
     """conversations (conv_id, turn, role, text) as training windows: conv_id, window (its number), formatted,
     repeated (how many of its turns are repeats, at its start), loss (array of start and length, in code points).
 
     Turns of a conversation are ordered by turn, role and text, nulls first; a null role or text counts as empty. A
-    null conv_id is a conversation of its own. Repeated rows are turns like any others. An empty table gives none.
+    null conv_id is a conversation of its own. Repeated rows are turns like any others. An empty table gives none. A
+    turn of any length is written whole, in a window of its own if it exceeds the span.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit("\n"))
     written = F.concat(F.col("head"), F.col("body"), F.lit(END))
-    tokens = F.ceil((F.length("role") + F.length("text")) / CHARS_PER_TOKEN).cast("long") + 1
-    rows = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), tokens.alias("tokens"))
-    rows = rows.withColumn("written", written).withColumn("place", F.row_number().over(order))
+    rows = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body")).withColumn("written", written)
+    rows = rows.withColumn("tokens", estimate(F.col("written"))).withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("again", F.when(F.col("role") == "system", F.when(F.col("tokens") <= system_tokens, F.col("written")).otherwise(shortened(F.col("text"), system_tokens))))
     up_to = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("after", up_to).withColumn("before", F.col("after") - F.col("tokens"))
-    first_turn = F.first(F.struct("role", "written")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    system = F.when((F.col("first.role") == "system") & (F.col("place") > 1), F.col("first.written"))
-    rows = rows.withColumn("first", first_turn).withColumn("system", system).drop("first")
+    first_turn = F.first("again").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("first", first_turn).withColumn("system", F.when(F.col("place") > 1, F.col("first"))).drop("first", "again")
     # history: the turns just before, the nearest first, while they fit; the system turn is there already
     least = F.when(F.col("system").isNotNull(), 1).otherwise(0)
     past = [F.struct(F.lag("written", k).over(order).alias("written"), (F.col("place") - k).alias("place"), F.lag("before", k).over(order).alias("start")) for k in range(history, 0, -1)]
