@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -134,7 +135,8 @@ def test_token_files(request, which):
 
     df, t = request.getfixturevalue(which), Tokenizer.from_file(BPE)
     want, at = [], 0
-    for i, text in sorted(texts_of(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    hashed = lambda text: (xxhash.xxh64_intdigest(text.encode(), 42) + (1 << 63)) % (1 << 64)
+    for i, text in sorted(texts_of(df), key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]))):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -154,7 +156,10 @@ def test_wavelet_file(ids):
         assert f.access(i) == ids[i]
         assert f.count(int(ids[i])) == (ids == ids[i]).sum() and f.count(int(ids[i]), i, len(ids)) == (ids[i:] == ids[i]).sum()
         assert f.locate(int(ids[i])).tolist() == np.flatnonzero(ids == ids[i]).tolist()
+        assert f.select(int(ids[i]), f.count(int(ids[i]), 0, i)) == i
     assert f.count(1 << 20) == 0 and f.locate(299_999).tolist() == []
+    with pytest.raises(IndexError):
+        f.select(1, (ids == 1).sum())
     with pytest.raises(IndexError):
         f.access(len(ids))
 
@@ -169,10 +174,30 @@ def test_word_table_forgets(monkeypatch):
     assert e.table.words < 150
 
 
+def test_words_outside_the_table():
+    """Texts without spaces leave nothing behind; words that share a key are told apart."""
+    e, rng = wavelet.Encoder(BPE), random.Random(2)
+    whole = lambda texts: [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(20):
+        texts = ["a " + " ".join("".join(rng.choices("日本語のテキスト", k=400)) for _ in range(5)) for _ in range(5)]
+        assert e.encode(texts) == whole(texts)
+    assert e.table.used < 10 and len(e.table.pool) < 1 << 17
+    e._keys = lambda data, start, n: (np.zeros(len(n), np.uint64), wavelet.Encoder._keys(e, data, start, n)[1])
+    for texts in (["x one two", "y two three one"], ["z three three four two"]):
+        assert e.encode(texts) == whole(texts)
+
+
+def test_token_files_need_whole_ids(spark):
+    with pytest.raises(TypeError):
+        wavelet.encode(spark.createDataFrame([("a", "x")], "doc_id string, text string"), BPE)
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_marginals_against_all_paths():
+@pytest.mark.parametrize("part", [1, 2, 3, 1024])
+def test_marginals_against_all_paths(monkeypatch, part):
+    monkeypatch.setattr(toxicity, "PART", part)
     rng = np.random.default_rng(1)
     scores, sizes, moves = rng.normal(size=9), np.array([4, 0, 5]), tuple(rng.normal(size=4))
     got, expected = toxicity.marginals(scores, sizes, moves, pairs=True)
@@ -193,6 +218,35 @@ def test_marginals_against_all_paths():
     assert np.allclose(got, want) and np.allclose(expected, pairs)
 
 
+def test_marginals_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    scores, sizes, moves = rng.normal(size=20_000) * 5 - 4, np.array([0, 3, 15_000, 1, 4_996, 0]), (0.7, -2.0, -1.5, 1.1)
+    cut, n_cut = toxicity.marginals(scores, sizes, moves, pairs=True)
+    monkeypatch.setattr(toxicity, "PART", 1 << 20)
+    whole, n_whole = toxicity.marginals(scores, sizes, moves, pairs=True)
+    assert np.allclose(cut, whole) and np.allclose(n_cut, n_whole)
+
+
+def brute_score(model, text):
+    """Forward and backward sums word by word, then the curve."""
+    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text.replace("İ", "i"))]
+    x = [0.0, 0.0, 0.0]
+    if words:
+        e = [np.exp(np.clip(model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)), -30, 30)) for w in words]
+        t = np.exp(np.array(model.moves)).reshape(2, 2)
+        forward = [np.array([1.0, e[0]])]
+        for v in e[1:]:
+            a = forward[-1] @ t * [1.0, v]
+            forward.append(a / a.sum())
+        backward = [np.ones(2)]
+        for v in reversed(e[1:]):
+            b = t @ (backward[-1] * [1.0, v])
+            backward.append(b / b.sum())
+        p = [(a * b)[1] / (a * b).sum() for a, b in zip(forward, reversed(backward), strict=True)]
+        x = [np.log1p(sum(p)), max(p), (sum(p) / len(p)) ** 0.5]
+    return 1 / (1 + np.exp(-(model.curve[0] + np.dot(model.curve[1:], x))))
+
+
 def toxic_corpus(n=400):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
@@ -219,6 +273,28 @@ def test_toxicity(spark):
     text = dict(rows)
     marked = {text[i][s["start"] : s["end"]].lower() for i in truth for s in found[i]["spans"]}
     assert marked and all(set(m.split()) <= {"vile", "rotten", "foul"} for m in marked)
+    assert all(found[i]["score"] == pytest.approx(brute_score(model, text[i]), abs=1e-9) for i in truth)
+    # odd rows, by a fitted field: null, empty, very long and repeated texts, and a letter that lower case makes two of
+    odd = [(1, None), (2, ""), (3, "12 !"), (4, "word vile " * 40_000), (4, "word vile " * 40_000), (None, "İ hate rotten, vile İ")]
+    got = toxicity.score(spark.createDataFrame(odd, "doc_id long, text string"), model, spans=True).collect()
+    assert [r["score"] for r in got] == [pytest.approx(brute_score(model, t or ""), abs=1e-9) for _, t in odd]
+    assert "İ hate rotten, vile İ"[got[5]["spans"][0]["start"] : got[5]["spans"][-1]["end"]] == "rotten, vile"
+    assert got[3] == got[4] and len(got[3]["spans"]) >= 1
+
+
+def test_toxicity_sample(spark, monkeypatch):
+    """A very long plain text doesn't crowd out others; an id of many rows is one document."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 3000)
+    monkeypatch.setattr(toxicity, "LONG_CHARS", 1000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    rows = [(0, "plain " * 5000), (1, "x"), *((1, f"y{i}") for i in range(500)), *((i, f"words {i} " * 20) for i in range(2, 60))]
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    (texts, toxic), *_ = seen
+    for y in (0, 1):
+        mine = [t for t, z in zip(texts, toxic, strict=True) if z == y]
+        assert len(mine) > 10 and sum(map(len, mine)) <= 3000
+    assert sum(t[0] in "xy" for t in texts) <= 1
 
 
 def test_toxicity_odd(spark, odd, none):
@@ -366,23 +442,57 @@ def test_decontamination(spark, odd, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     items = [(1, "the"), (2, "b C"), (3, ""), (4, None), (10, " ".join(f"w{i}" for i in range(5, 40))), (5, "the dog"), (5, "x y"), (12, "é̂ 日本 語　x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert key(map(tuple, decontaminate.annotate(odd, bench).collect())) == brute_hits(texts_of(odd), items)
+    assert key(tuple(r)[:6] for r in decontaminate.annotate(odd, bench).collect()) == brute_hits(texts_of(odd), items)
     clean = decontaminate.clean(odd, bench)
     assert clean.columns == odd.columns
-    bad = {r[0] for r in brute_hits(texts_of(odd), items) if r[5]}
-    assert not {r["doc_id"] for r in clean.collect()} & (bad - {6})
+    rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
+    hit = Counter((r[0], r[1]) for r in rows if brute_hits([r], items)[0][2])
+    assert Counter((r["doc_id"], r["text"] or "") for r in clean.collect()) == Counter(rows) - hit
+
+
+def test_clean_keeps_columns(spark):
+    bench = spark.createDataFrame([(1, "so long a passage")], "item_id long, text string")
+    rows = [(1, 5, "x", "some so long a passage of it " + "word " * 500, 1.5), (2, 6, "y", "clean", 2.5), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, _n_words int, _contaminated string, text string, `a b` double")
+    assert [tuple(r) for r in decontaminate.clean(df, bench).collect()] == rows[1:]
 
 
 def test_decontamination_tables(spark, sf_dir, docs):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    assert key(map(tuple, decontaminate.annotate(docs, bench).collect())) == brute_hits(texts_of(docs), [tuple(r) for r in bench.select("item_id", "text").collect()])
+    assert key(tuple(r)[:6] for r in decontaminate.annotate(docs, bench).collect()) == brute_hits(texts_of(docs), [tuple(r) for r in bench.select("item_id", "text").collect()])
 
 
 def test_longest_matches(spark):
-    text = "x " + " ".join(f"w{i}" for i in range(60)) + " y"
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(5, 40)))], "item_id long, text string")
-    assert [r.asDict() for r in decontaminate.annotate(df, bench, longest=True).first()["matches"]] == [{"item": "7", "doc_word": 6, "item_word": 0, "n_words": 35}]
+    text = "x " + " ".join(f"w{i}" for i in range(60)) + " y " + " ".join(f"w{i}" for i in range(5, 20))
+    rows = [(1, text), (2, "a " * 3000), (3, "nothing of it")]
+    bench = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(5, 40))), (8, "a " * 2000), (9, "y w5")], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.annotate(spark.createDataFrame(rows, "doc_id long, text string"), bench, matches=True).collect()}
+    assert [m.asDict() for m in found[1]["matches"]] == [{"item": "7", "doc_word": 6, "item_word": 0, "n_words": 35}, {"item": "9", "doc_word": 61, "item_word": 0, "n_words": 2}]
+    assert (found[1]["longest"], found[1]["longest_at"]) == (35, 6)
+    assert [m.asDict() for m in found[2]["matches"]] == [{"item": "8", "doc_word": 0, "item_word": 0, "n_words": 2000}]  # a text that repeats itself
+    assert (found[3]["longest"], found[3]["longest_at"], found[3]["matches"]) == (0, None, [])
+
+
+def test_longest_matches_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice("ab")
+    items = [(str(i), [word() for _ in range(rng.randint(10, 60))]) for i in range(6)]
+    texts = [[word() for _ in range(200)] + items[i % 6][1] + [word() for _ in range(50)] for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.annotate(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string"), matches=True).collect()}
+    for i, t in enumerate(texts):
+        want = {}
+        for name, w in items:
+            least = min(13, len(w))
+            for a in range(len(t)):
+                for b in range(len(w)):
+                    n = 0
+                    while a + n < len(t) and b + n < len(w) and t[a + n] == w[b + n]:
+                        n += 1
+                    if n >= least and n > want.get(name, 0):
+                        want[name] = n
+        assert {m["item"]: m["n_words"] for m in got[i]["matches"]} == want and got[i]["longest"] == max(want.values())
+        assert all(t[m["doc_word"] : m["doc_word"] + m["n_words"]] == dict(items)[m["item"]][m["item_word"] : m["item_word"] + m["n_words"]] for m in got[i]["matches"])
 
 
 def test_decontamination_empty(spark, odd, none):
@@ -417,14 +527,78 @@ def test_language_odd(odd, none, docs):
     kept = langid.detect(odd, model, keep=True)
     assert kept.columns == [*odd.columns, "_lang_pred", "_lang_score"]
     assert langid.detect(none, langid.train(none)).count() == 0
-    assert {r["lang_pred"] for r in langid.detect(odd, langid.fit([])).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.detect(odd, langid.fit({})).collect()} == {"und"}
 
 
 def test_backoff():
-    model = langid.fit([("a", "zork zork zork blim blim blim"), ("b", "quap quap quap dren dren dren")], least=2)
-    assert "zork" in model.words and "zorkish" not in model.words
-    langs, _ = langid.predict(model, Memo(10), ["zorkish", "quapper", "zork quap quap", "1 2", "² ½Ⅷ _"])
-    assert langs == ["a", "b", "b", "und", "und"]
+    model = langid.fit({"b": Counter(quap=3, dren=3), "a": Counter(zork=3, blim=3)}, least=2)
+    assert model.words.get("zork") is not None and model.words.get("zorkish") is None
+    langs, shares = langid.predict(model, Memo(10), ["zorkish", "quapper", "zork quap quap", "1 2", "² ½Ⅷ _", "zork quap"])
+    assert langs == ["a", "b", "b", "und", "und", "a"]  # of equal evidence, the first
+    assert shares[5] == pytest.approx(0.5)
+
+
+def brute_language(counts, text, least=3):
+    """Word first, then n-grams, as sums over plain dictionaries."""
+    languages = sorted(counts)
+    grams = {lang: Counter() for lang in languages}
+    for lang in languages:
+        for w, n in counts[lang].items():
+            for size in range(1, 6):
+                for i in range(len(w) + 3 - size):
+                    if (g := f"^{w}$"[i : i + size]) not in "^$":
+                        grams[lang][g] += n
+
+    def logs(table):
+        known = {x for x, n in sum(table.values(), Counter()).items() if n >= least}
+        size = {lang: sum(n for x, n in table[lang].items() if x in known) + 0.2 * max(1, len(known)) for lang in languages}
+        return {x: [np.log((table[lang][x] + 0.2) / size[lang]) for lang in languages] for x in known}
+
+    words, parts = logs(counts), logs(grams)
+    found = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if any(map(str.isalpha, w))]
+    if not found or not languages:
+        return "und", 0.0
+    total = np.zeros(len(languages))
+    for w in found:
+        if w in words:
+            total += words[w]
+            continue
+        held = f"^{w}$"
+        hits = [next((parts[g] for k in range(min(5, len(held) - i), 0, -1) if (g := held[i : i + k]) in parts), None) for i in range(len(held))]
+        hits = [h for h in hits if h is not None]
+        if hits:
+            total += np.mean(hits, axis=0)
+    odds = np.exp((total - total.max()) / len(found) ** 0.5)
+    return languages[int(total.argmax())], odds.max() / odds.sum()
+
+
+def test_language_against_brute_force(docs, odd, monkeypatch):
+    monkeypatch.setattr(langid, "SUMMED", 50)
+    held = [r for r in docs.collect() if r["lang"] is not None and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    counts = defaultdict(Counter)
+    for r in held:
+        counts[r["lang"]].update(re.findall(r"[^\W\d_]+", r["text"].lower()))
+    model = langid.train(docs)  # the table is smaller than the sample
+    for df in (docs.limit(40), odd):
+        text = defaultdict(list)
+        for i, t in texts_of(df):
+            text[i].append(brute_language(counts, t))
+        for r in langid.detect(df, model).collect():
+            assert any(r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=2e-3) for lang, score in text[r["doc_id"]])
+
+
+def test_rare_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 0)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 1000)
+    rows = [(i, "one two three four five six seven " * 20, "en") for i in range(200)] + [(1000 + i, "eins zwei drei vier " * 30_000, "de") for i in range(6)] + [(2000 + i, "uno dos tres " * 3, f"x{i:03d}") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {g for i, _, g in rows if zlib.crc32(str(i).encode()) % 4 != 2} and len(model.languages) > 200
+    assert langid.predict(model, Memo(10), ["zwei drei vier"])[0] == ["de"]
+
+
+def test_confident_keeps_columns(spark, docs):
+    rows = spark.createDataFrame([(1, "the cat sat on the mat", 1.0, "a", 3), (2, "12", 1.0, "b", 3), (3, None, 1.0, "c", 3)], "doc_id long, text string, _lang_score double, _lang_pred string, `a b` int")
+    assert [tuple(r) for r in langid.confident(rows, langid.train(docs), 0.0).collect()] == [(1, "the cat sat on the mat", 1.0, "a", 3)]
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
@@ -466,6 +640,26 @@ def test_chat_tables(spark, sf_dir):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_its_budget(spark):
+    tokens = lambda s: -(-(2 * len(s) + 3 * (len(s.encode()) - len(s))) // 8)
+    rng = random.Random(3)
+    rows = []
+    for c, system in enumerate(("rules", "x" * 40_000, "規" * 9000, "[<&" * 3000, "😀" * 2000, None)):
+        rows += [(c, 0, "system", system)] if system else []
+        rows += [(c, k, ["assistant", "user"][k % 2], rng.choice("a規é<") * rng.choice([3, 40, 400, 1500]) + str(k)) for k in range(1, 60)]
+    rows.append((7, 1, "user", "long " * 50_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.windows(df).collect()
+    for r in made:
+        turns = [f"<|turn|>{t}" for t in r["formatted"].split("<|turn|>")[1:]]
+        own = sum(map(tokens, turns[r["repeated"] :]))
+        assert own <= chat.SPAN or len(turns) == r["repeated"] + 1
+        assert sum(map(tokens, turns[: r["repeated"]])) <= chat.HISTORY_TOKENS + chat.SYSTEM_TOKENS
+        if r["conv_id"] < 5 and r["window"] > 1:
+            assert turns[0].startswith("<|turn|>system\n") and turns[0].endswith("<|end|>")
+    assert key(tuple(r)[:5] for r in chat.read_back(chat.windows(df)).collect()) == conversation_digests(rows)
+
+
 def test_chat_repeats_system_and_history(spark):
     rows = [(1, 0, "system", "rules"), *((1, k, ["assistant", "user"][k % 2], f"turn number {k} " + "x" * 40) for k in range(1, 9))]
     made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), span=30, history_tokens=20, history=2).orderBy("window").collect()

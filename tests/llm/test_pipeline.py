@@ -23,7 +23,7 @@ def test_stages(spark, sf_dir, tmp_path):
         elif name == "near-dedup":
             assert ids == sorted(r[0] for r in brute_components(before) if r[3])
         elif name == "decontamination":
-            assert ids == sorted(r[0] for r in brute_hits(before, bench) if not r[5])
+            assert ids == sorted(r[0] for r in brute_hits(before, bench) if not r[2])
         elif name == "mixing":
             assert set(ids) <= {i for i, _ in before} and max(map(ids.count, set(ids))) <= 2
         else:
