@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trawl.llm import decontaminate, langid, mixing, neardup, wavelet
 from trawl.llm.common import settle, small_batches, table
@@ -21,8 +20,7 @@ TOKENIZER = "byte_bpe_50k.json"
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learnt from docs; documents without letters or of no clear language go."""
     small_batches(spark)
-    found = langid.detect(docs, langid.train(docs), keep=True)
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SHARE)).drop("_lang_pred", "_lang_score")
+    return langid.confident(docs, langid.train(docs), LEAST_SHARE)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
