@@ -1,7 +1,6 @@
 """Search over text columns without Python: lines, existence, counts, limits, context, matched text, replacement.
 
-All of these look at one row at a time, so none of them shuffles (but for the numbers of context groups), and all but
-those work on streams. They ask for a pattern whose matches can be told line by line by Java's engine
+All of these look at one row at a time, so none of them shuffles, and all work on streams. They ask for a pattern whose matches can be told line by line by Java's engine
 (`Pattern.by_line`; for spans `Pattern.span_safe`); `operators.exact` takes every pattern.
 
 A null text is no file and gives no rows. Lines end with a newline; an empty text has one empty line.
@@ -9,10 +8,11 @@ A null text is no file and gives no rows. Lines end with a newline; an empty tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.pattern import Pattern
+from trawl.functions.template import java_form, parse_template
 
 
 #: Lines between sums of line lengths.
@@ -33,7 +33,7 @@ def exists(pattern: Pattern, text: Column) -> Column:
     _need(pattern)
     if pattern.literal is not None:
         return F.contains(text, F.lit(pattern.literal))
-    found = text.rlike(pattern.java)
+    found = text.rlike(pattern.java_exists)
     return F.contains(text, F.lit(pattern.required)) & found if len(pattern.required) > 1 else found
 
 
@@ -89,9 +89,8 @@ def count_lines(df: DataFrame, path: str, text: str, pattern: Pattern, invert: b
     return df.select(F.col(path).alias("path"), hit.alias("count")).where(F.col("count") > 0)
 
 
-def context(df: DataFrame, path: str, text: str, pattern: Pattern, before: int, after: int, most: int | None = None) -> DataFrame:
-    """path, line_number, line, is_match of the lines with a match and those around them; with `most`, around the
-    first so many. Found within the row."""
+def _context(df: DataFrame, path: str, text: str, pattern: Pattern, before: int, after: int, most: int | None) -> DataFrame:
+    """path, _shown: the lines of context() as an array."""
     rows = df.where(exists(pattern, F.col(text))).select(F.col(path).alias("path"), line_array(F.col(text)).alias("_lines"))
     rows = rows.withColumn("_hit", F.transform("_lines", lambda x: exists(pattern, x)))
     if most is not None:
@@ -100,14 +99,24 @@ def context(df: DataFrame, path: str, text: str, pattern: Pattern, before: int,
     first = lambda i: F.greatest(i - after, F.lit(0))
     near = lambda i: F.exists(F.slice("_hit", first(i) + 1, i + before - first(i) + 1), lambda h: h)
     shown = F.transform("_lines", lambda x, i: F.when(near(i), F.struct((i + 1).alias("line_number"), x.alias("line"), F.get("_hit", i).alias("is_match"))))
-    return rows.select("path", F.inline(F.filter(shown, lambda s: s.isNotNull())))
+    return rows.select("path", F.filter(shown, lambda s: s.isNotNull()).alias("_shown"))
+
+
+def context(df: DataFrame, path: str, text: str, pattern: Pattern, before: int, after: int, most: int | None = None) -> DataFrame:
+    """path, line_number, line, is_match of the lines with a match and those around them; with `most`, around the
+    first so many. Found within the row."""
+    return _context(df, path, text, pattern, before, after, most).select("path", F.inline("_shown"))
 
 
 def context_groups(df: DataFrame, path: str, text: str, pattern: Pattern, before: int, after: int, most: int | None = None) -> DataFrame:
-    """context with group_id: lines that follow one another are a group, numbered from 1 in each text."""
-    order = Window.partitionBy("path").orderBy("line_number")
-    gap = F.coalesce((F.col("line_number") - F.lag("line_number").over(order) > 1).cast("int"), F.lit(0))
-    return context(df, path, text, pattern, before, after, most).withColumn("_gap", gap).withColumn("group_id", F.sum("_gap").over(order) + 1).drop("_gap")
+    """context with group_id: lines that follow one another are a group, numbered from 1 in each text. A text's lines
+    are cut into its groups within the row."""
+    rows = _context(df, path, text, pattern, before, after, most)
+    begins = lambda s, i: (i == 0) | (F.get("_shown", i - 1)["line_number"] < s["line_number"] - 1)
+    starts = F.filter(F.transform("_shown", lambda s, i: F.when(begins(s, i), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", F.concat(starts, F.array(F.size("_shown"))))
+    groups = F.transform(F.slice("_starts", F.lit(1), F.size("_starts") - 1), lambda a, k: F.slice("_shown", a + 1, F.get("_starts", k + 1) - a))
+    return rows.select("path", F.posexplode(groups).alias("_k", "_group")).select("path", F.inline("_group"), (F.col("_k") + 1).cast("long").alias("group_id"))
 
 
 def only_matching(df: DataFrame, path: str, text: str, pattern: Pattern, most: int | None = None) -> DataFrame:
@@ -124,43 +133,10 @@ def columns(df: DataFrame, path: str, text: str, pattern: Pattern) -> DataFrame:
     return matching_lines(df, path, text, pattern).select("path", "line_number", (F.octet_length(F.left("line", place - 1)) + 1).cast("long").alias("column_number"))
 
 
-def java_template(template: str, pattern: Pattern) -> str:
-    """A replacement in Java's form."""
-    out, i = [], 0
-    plain = lambda c: f"\\{c}" if c in "\\$" or c.isdigit() else c
-
-    def group(token: str) -> str:
-        if token.isdigit():
-            return f"${int(token)}" if int(token) <= len(pattern.names) else ""
-        return f"${pattern.names.index(token) + 1}" if token in pattern.names else ""
-
-    named = lambda c: c.isascii() and (c.isalnum() or c == "_")
-    while i < len(template):
-        c, following = template[i], template[i + 1 : i + 2]
-        if c == "$" and following == "$":
-            out.append("\\$")
-            i += 2
-        elif c == "$" and following == "{" and "}" in template[i + 2 :]:
-            close = template.index("}", i + 2)
-            out.append(group(template[i + 2 : close]))
-            i = close + 1
-        elif c == "$" and following and named(following):
-            kind = str.isdigit if following.isdigit() else named
-            end = i + 2
-            while end < len(template) and kind(template[end]):
-                end += 1
-            out.append(group(template[i + 1 : end]))
-            i = end
-        else:
-            out.append(plain(c))
-            i += 1
-    return "".join(out)
-
-
 def replaced(df: DataFrame, path: str, text: str, pattern: Pattern, template: str) -> DataFrame:
     """matching_lines with every match replaced."""
     _need(pattern, True)
-    return matching_lines(df, path, text, pattern).withColumn("line", F.regexp_replace("line", F.lit(pattern.java), F.lit(java_template(template, pattern))))
+    return matching_lines(df, path, text, pattern).withColumn("line", F.regexp_replace("line", F.lit(pattern.java), F.lit(java_form(parse_template(template, pattern.names)))))
 
 
 def events(df: DataFrame, path: str, text: str, pattern: Pattern) -> DataFrame:
