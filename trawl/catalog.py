@@ -238,7 +238,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grep_ignore_filter", f"SELECT page_id AS path FROM (SELECT page_id, {PAGE_PATH} AS p FROM pages) WHERE NOT CASE WHEN {_segment('%#top')} THEN false WHEN {_segment('en')} THEN true ELSE false END")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = paths.parse_ignore("# pages\nen\n!*#top\nfolder/\n", "/site")
+    rules = paths.ignore_lines("# pages\nen\n!*#top\nfolder/\n", "/site")
     return _page_paths(spark, sf_dir).where(~paths.ignored(F.concat(F.lit("/site/"), "rel_path"), rules)).select("path")
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -77,37 +78,24 @@ class TypeTable:
         return result & ~any_of(exclude) if exclude else result
 
 
-@dataclass(frozen=True)
-class IgnoreRule:
-    pattern: str
-    negated: bool
-    directory_only: bool
-    anchored: bool
-    base: str  # absolute folder that the rule speaks of
-
-
-def parse_ignore(text: str, base: str) -> list[IgnoreRule]:
-    rules = []
-    for line in text.split("\n"):
-        line = line.strip(" \t\r")
-        if not line or line.startswith("#"):
-            continue
-        negated = line.startswith("!")
-        line = line[negated:]
-        anchored = line.startswith("/")
-        line = line[anchored:]
-        directory_only = line.endswith("/")
-        line = line.rstrip("/") if directory_only else line
-        if line:
-            rules.append(IgnoreRule(line, negated, directory_only, anchored, base))
-    return rules
+#: A line of an ignore file: a mark that lets paths in again, a glob, slashes that make it speak of folders.
+IGNORE_LINE = re.compile(r"^[ \t\r]*+(?!#)(?P<again>!?)(?P<glob>[^\n]*?)(?P<folder>/*)[ \t\r]*$", re.M)
+
+#: Below which folder a line counts, its glob, and whether what it matches is ignored.
+Ignore = tuple[str, str, bool]
+
 
+def ignore_lines(text: str, folder: str) -> list[Ignore]:
+    """The lines of an ignore file of a folder that speak of files."""
+    found = IGNORE_LINE.finditer(text)
+    return [(folder.rstrip("/") + "/", m["glob"], not m["again"]) for m in found if m["glob"].strip("/") and not m["folder"]]
 
-def load_ignore(root: str, vcs: bool, parents: bool, files: tuple[str, ...]) -> list[IgnoreRule]:
+
+def load_ignore(root: str, vcs: bool, parents: bool, files: tuple[str, ...]) -> list[Ignore]:
     """Rules of the .gitignore files from the file system's root down to the search's, then of named files. Driver
     only: the folders above a search are few."""
     folder = os.path.abspath(root if os.path.isdir(root) else os.path.dirname(root) or ".")
-    rules: list[IgnoreRule] = []
+    rules: list[Ignore] = []
     if vcs:
         chain = [folder]
         while parents and (up := os.path.dirname(chain[-1])) != chain[-1]:
@@ -115,24 +103,27 @@ def load_ignore(root: str, vcs: bool, parents: bool, files: tuple[str, ...]) ->
         for at in reversed(chain):
             file = Path(at, ".gitignore")
             if file.is_file():
-                rules += parse_ignore(file.read_text(errors="surrogateescape"), at)
+                rules += ignore_lines(file.read_text(errors="surrogateescape"), at)
     for name in files:
-        rules += parse_ignore(Path(name).read_text(errors="surrogateescape"), os.path.dirname(os.path.abspath(name)))
+        rules += ignore_lines(Path(name).read_text(errors="surrogateescape"), os.path.dirname(os.path.abspath(name)))
     return rules
 
 
-def ignored(absolute: Column, rules: list[IgnoreRule]) -> Column:
-    """Whether the last rule that matches an absolute path excludes it. Rules for folders never match: only files are
-    asked about. Rules don't reach out of their folder."""
-    result = F.lit(False)
-    for rule in rules:
-        if rule.directory_only:
-            continue
-        base = rule.base.rstrip("/") + "/"
-        relative = F.substring(absolute, len(base) + 1, 1 << 30)
-        hit = glob_matches(relative, rule.pattern) if rule.anchored else path_matches(relative, rule.pattern)
-        result = F.when(absolute.startswith(base) & hit, F.lit(not rule.negated)).otherwise(result)
-    return result
+def ignored(absolute: Column, rules: list[Ignore]) -> Column:
+    """Whether the last line that matches an absolute path ignores it. A line doesn't reach out of its folder."""
+    verdict = F.lit(False)
+    for folder, glob, out in rules:
+        below = F.substring(absolute, len(folder) + 1, 1 << 30)
+        verdict = F.when(absolute.startswith(folder) & path_matches(below, glob), F.lit(out)).otherwise(verdict)
+    return verdict
+
+
+def listed(path: Column, hidden: bool = False, max_depth: int | None = None) -> Column:
+    """Whether a walk meets a path from its root: no part of it is hidden (unless those are asked for), and no folder
+    on the way lies deeper than max_depth."""
+    parts = F.split(path, "/")
+    met = F.lit(True) if hidden else ~F.exists(parts, lambda p: p.startswith("."))
+    return met if max_depth is None else met & (F.size(parts) <= max_depth + 1)
 
 
 def relative(path: str, root: str) -> str:
