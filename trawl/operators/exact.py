@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.automaton import Matcher
@@ -21,15 +21,18 @@ MATCHES = "line_number long, column_number long, line binary, line_terminated bo
 BLOCKS = "start_line long, end_line long, block binary, submatches array<struct<match:binary,start:long,end:long>>"
 
 
-def _candidates(df: DataFrame, content: str, pattern: Pattern) -> DataFrame:
-    """Contents that may match: Java's engine tells for valid UTF-8, as existence doesn't depend on the engine."""
-    data = F.col(content)
-    if len(pattern.required) > 1:
-        df = df.where(F.contains(data.cast("binary"), F.lit(pattern.required.encode())))
+def may_match(data: Column, pattern: Pattern, text: bool = False) -> Column:
+    """Whether contents may match; text: they are valid UTF-8. Java's engine tells for these, as existence doesn't
+    depend on the engine; other bytes are told by a literal only."""
+    found = F.contains(data.cast("binary"), F.lit(pattern.required.encode())) if len(pattern.required) > 1 else F.lit(True)
     if not pattern.heavy and not pattern.nullable and pattern.literal is None:
-        found = data.cast("string").rlike(pattern.java)
-        df = df.where(found if df.schema[content].dataType.simpleString() == "string" else ~F.is_valid_utf8(data.cast("string")) | found)
-    return df
+        matched = data.cast("string").rlike(pattern.java_exists)
+        found &= matched if text else ~F.is_valid_utf8(data.cast("string")) | matched
+    return found
+
+
+def _candidates(df: DataFrame, content: str, pattern: Pattern) -> DataFrame:
+    return df.where(may_match(F.col(content), pattern, df.schema[content].dataType.simpleString() == "string"))
 
 
 def matches(df: DataFrame, path: str, content: str, pattern: Pattern, mode: str = "matches", most: int | None = None) -> DataFrame:
