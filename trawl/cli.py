@@ -33,8 +33,8 @@ def main(argv: list[str]) -> int:
 
     spark = SparkSession.builder.appName("trawl").getOrCreate()
     stdin = None if sys.stdin is None or sys.stdin.isatty() else sys.stdin.buffer.read()
-    result = search.main(spark, argv, stdin, dict(os.environ))
-    sys.stdout.buffer.write(result.stdout)
+    result = search.main(spark, argv, stdin, dict(os.environ), sys.stdout.buffer.write)
+    sys.stdout.buffer.write(result.stdout)  # of what didn't come as it was made
     sys.stderr.buffer.write(result.stderr)
     return result.exit_code
 

@@ -49,13 +49,16 @@ def gunzip(data: bytes) -> bytes:
 
 
 def preprocess(command: str, path: str) -> bytes:
-    """What a command (its words, then the path) prints. A command that can't be started is an error of the search."""
-    done = subprocess.run([*command.split(), path], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
-    if done.returncode:
-        raise ContentError("PreprocessorSignaled" if done.returncode < 0 else "PreprocessorFailed")
-    if len(done.stdout) > PRE_MOST:
-        raise ContentError("PreprocessorTooMuchOutput")
-    return done.stdout
+    """What a command (its words, then the path) prints; no more than PRE_MOST bytes of it are ever held. A command
+    that can't be started is an error of the search."""
+    with subprocess.Popen([*command.split(), path], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+        made = run.stdout.read(PRE_MOST + 1)
+        if len(made) > PRE_MOST:
+            run.kill()
+            raise ContentError("PreprocessorTooMuchOutput")
+        if code := run.wait():
+            raise ContentError("PreprocessorSignaled" if code < 0 else "PreprocessorFailed")
+    return made
 
 
 def has_bom(data: bytes) -> bool:

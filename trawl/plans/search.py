@@ -5,19 +5,23 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.operators import exact, transform
 from trawl.operators import paths as path_ops
 from trawl.operators.transform import MESSAGES
 from trawl.plans.options import Options, parse, with_config
-from trawl.plans.report import FileReporter, elapsed
+from trawl.plans.report import FileReporter, Outcome, elapsed
 from trawl.sources import corpus
 
 OUTCOME = "root_ix int, path string, mtime_ns long, atime_ns long, printed binary, matched boolean, matched_lines long, matches long, searched_bytes long, searched boolean, skipped_binary boolean, warning string"
-STATS = ("matches", "matched_lines", "matched_files", "searched_files", "printed_bytes", "searched_bytes", "skipped_binary_files", "warnings_emitted")
+#: Printed bytes that a task holds before it passes them on, about.
+MOST_PRINTED = 16 << 20
 
 
 @dataclass
@@ -48,44 +52,75 @@ def ordered(o: Options, df: DataFrame) -> DataFrame:
     return df.orderBy("root_ix", *((F.col(k).desc() if o.reverse else F.col(k)) for k in keys))
 
 
+def _searched_natively(o: Options, always: bool) -> Column:
+    """Whether what comes of a file is known without looking for matches in Python: it is passed over as binary, or
+    searched as it is without a match, of which nothing is printed."""
+    content = F.col("content")
+    if always or o.search_zip or o.invert or o.mode == "without" or o.encoding not in ("auto", "none", "utf8"):
+        return F.lit(False)
+    without = ~exact.may_match(content, o.pattern())
+    if o.encoding != "auto":
+        return without
+    marked = content.startswith(F.lit(b"\xff\xfe")) | content.startswith(F.lit(b"\xfe\xff"))
+    passed = transform.is_binary(content) if o.binary == "skip" else F.lit(False)
+    return passed | ~marked & without
+
+
 def outcomes(o: Options, files: DataFrame, always: bool = False) -> DataFrame:
-    """A row for each file: what is printed about it and its counts. Files are looked at where they are."""
+    """A row for each file: what is printed about it and its counts. Files are looked at where they are, one after the
+    other; those that can't match aren't sent to Python."""
     o.pattern()  # errors of the pattern are raised here, on the driver
     FileReporter(o)
     for c, kind in (("mtime_ns", "long"), ("atime_ns", "long"), ("warning", "string")):
         if c not in files.columns:
             files = files.withColumn(c, F.lit(None).cast(kind))
     use_pre = F.lit(False) if o.pre is None else path_ops.last_match(F.col("path"), [(g, False) for g in o.pre_globs]) if o.pre_globs else F.lit(True)
-    files = files.select("root_ix", "path", "mtime_ns", "atime_ns", "warning", "content", use_pre.alias("use_pre"))
+    known = F.col("warning").isNull() & ~F.col("use_pre") & F.coalesce(_searched_natively(o, always), F.lit(False))
+    binary = transform.is_binary(F.col("content")) if o.encoding == "auto" and o.binary == "skip" else F.lit(False)
+    files = files.withColumn("use_pre", use_pre).withColumn("known", known)
+    files = files.select(
+        "root_ix", "path", "mtime_ns", "atime_ns", "warning", "use_pre", "known", F.octet_length("content").cast("long").alias("size"), (F.col("known") & binary).alias("binary"),
+        F.when(~F.col("known"), F.col("content")).alias("content"),
+    )
 
     def run(batches):
         import pyarrow as pa
 
         reporter = FileReporter(o)
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.bool_(), pa.string()]
+        names = [x.split()[0] for x in OUTCOME.split(", ")]
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                head = (r["root_ix"], r["path"], r["mtime_ns"], r["atime_ns"])
-                if r["warning"] is not None:
-                    rows.append((*head, b"", False, 0, 0, 0, False, False, r["warning"]))
-                    continue
-                x = reporter.report(r["path"] or "", r["content"] or b"", r["use_pre"], always)
-                rows.append((*head, x.printed, x.matched, x.matched_lines, x.matches, x.searched_bytes, x.searched, x.skipped_binary, x.warning))
-            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.bool_(), pa.string()]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in OUTCOME.split(", ")])
+            held, printed = [], 0
+            heads = list(zip(*(c.to_pylist() for c in batch.columns[:9]), strict=True))
+            for k, (root, path, mtime, atime, warning, pre, known, size, binary) in enumerate(heads):
+                if warning is not None:
+                    x = Outcome(warning=warning)
+                elif known:
+                    x = Outcome(skipped_binary=True) if binary else Outcome(searched=True, searched_bytes=size)
+                else:
+                    x = reporter.report(path or "", batch.column(9)[k].as_py() or b"", pre, always)
+                held.append((root, path, mtime, atime, x.printed, x.matched, x.matched_lines, x.matches, x.searched_bytes, x.searched, x.skipped_binary, x.warning))
+                printed += len(x.printed)
+                if printed > MOST_PRINTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                    held, printed = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
     return files.mapInArrow(run, OUTCOME)
 
 
-def totals(found: DataFrame) -> dict[str, int]:
-    """The statistics of a search, one aggregate."""
-    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    row = found.agg(
+def summary(found: DataFrame) -> DataFrame:
+    """The statistics of a search, one row."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return found.agg(
         n(F.col("matches")).alias("matches"), n(F.col("matched_lines")).alias("matched_lines"), n(F.col("matched")).alias("matched_files"), n(F.col("searched")).alias("searched_files"),
         n(F.octet_length("printed")).alias("printed_bytes"), n(F.col("searched_bytes")).alias("searched_bytes"), n(F.col("skipped_binary")).alias("skipped_binary_files"), n(F.col("warning").isNotNull()).alias("warnings_emitted"),
-    ).first()
-    return row.asDict()
+    )
+
+
+def totals(found: DataFrame) -> dict[str, int]:
+    return summary(found).first().asDict()
 
 
 def stats_text(stats: dict[str, int], seconds: float) -> str:
@@ -99,41 +134,37 @@ def stats_text(stats: dict[str, int], seconds: float) -> str:
     return "\n" + "\n".join(lines) + "\n"
 
 
-def _print(o: Options, found: DataFrame, always: bool = False) -> RunResult:
-    """Runs the plan. Output comes row by row, in order; only what is printed reaches the driver."""
+def _print(o: Options, found: DataFrame, always: bool = False, out: Callable[[bytes], object] | None = None) -> RunResult:
+    """Runs the plan. Files are searched once; statistics are an aggregate; what is printed comes in order, part by
+    part, and goes to `out` as it comes (or into the result)."""
     began, began_ns = time.monotonic(), time.monotonic_ns()
     if o.quiet and not o.stats and not o.json:
         return RunResult(0 if not found.where("matched").isEmpty() else 1)
-    out: list[bytes] = []
+    held: list[bytes] = []
+    write = out or held.append
     errors: list[bytes] = []
-    stats = dict.fromkeys(STATS, 0)
-    any_matched = False
-    for r in ordered(o, found).toLocalIterator():
-        any_matched |= r["matched"]
-        stats["matches"] += r["matches"]
-        stats["matched_lines"] += r["matched_lines"]
-        stats["matched_files"] += r["matched"]
-        stats["searched_files"] += r["searched"]
-        stats["searched_bytes"] += r["searched_bytes"]
-        stats["skipped_binary_files"] += r["skipped_binary"]
-        if r["warning"] is not None:
-            stats["warnings_emitted"] += 1
-            what, _, kind = r["warning"].rpartition(" ")
-            errors.append(f"warning: skipping {what and what + ' '}{r['path']}: {MESSAGES.get(kind, kind)}\n".encode("utf-8", "surrogateescape"))
-        if r["printed"] and (r["matched"] or always):
-            if o.heading and o.mode == "lines" and out:
-                out.append(b"\n")
-            out.append(bytes(r["printed"]))
-            stats["printed_bytes"] += len(r["printed"])
+    found = found.persist(StorageLevel.DISK_ONLY)
+    try:
+        stats = totals(found.withColumn("printed", F.when(F.col("matched") | F.lit(always), F.col("printed"))))
+        any_matched = stats["matched_files"] > 0
+        any_printed = False
+        shown = found.where(F.col("warning").isNotNull() | (F.octet_length("printed") > 0) & (F.col("matched") | F.lit(always)))
+        for r in ordered(o, shown).toLocalIterator():
+            if r["warning"] is not None:
+                what, _, kind = r["warning"].rpartition(" ")
+                errors.append(f"warning: skipping {what and what + ' '}{r['path']}: {MESSAGES.get(kind, kind)}\n".encode("utf-8", "surrogateescape"))
+            elif not o.quiet:
+                write(b"\n" * (o.heading and o.mode == "lines" and any_printed) + bytes(r["printed"]))
+                any_printed = True
+    finally:
+        found.unpersist()
     if o.json and o.mode == "lines":
         taken = elapsed(time.monotonic_ns() - began_ns)
         s = {"elapsed": taken, "searches": stats["searched_files"], "searches_with_match": stats["matched_files"], "bytes_searched": stats["searched_bytes"], "bytes_printed": stats["printed_bytes"], "matched_lines": stats["matched_lines"], "matches": stats["matches"]}
-        out.append(f'{{"type":"summary","data":{{"elapsed_total":{json.dumps(taken, separators=(",", ":"))},"stats":{json.dumps(s, separators=(",", ":"))}}}}}\n'.encode())
-    if o.quiet:
-        out = [x for x in out if x.startswith(b'{"type":"summary"')]
+        write(f'{{"type":"summary","data":{{"elapsed_total":{json.dumps(taken, separators=(",", ":"))},"stats":{json.dumps(s, separators=(",", ":"))}}}}}\n'.encode())
     if o.stats and o.mode not in ("with", "without"):
         errors.append(stats_text(stats, time.monotonic() - began).encode())
-    return RunResult(0 if any_matched else 1, b"".join(out), b"".join(errors), stats)
+    return RunResult(0 if any_matched else 1, b"".join(held), b"".join(errors), stats)
 
 
 def effective(o: Options) -> Options:
@@ -144,7 +175,7 @@ def effective(o: Options) -> Options:
     return replace(o, **off, heading=False)
 
 
-def run(spark: SparkSession, o: Options, stdin: bytes | None = None) -> RunResult:
+def run(spark: SparkSession, o: Options, stdin: bytes | None = None, out: Callable[[bytes], object] | None = None) -> RunResult:
     """A search as the command line makes it."""
     if o.type_list:
         return RunResult(0, o.type_table().listing().encode())
@@ -154,21 +185,23 @@ def run(spark: SparkSession, o: Options, stdin: bytes | None = None) -> RunResul
         if "with_filename" not in o.seen and o.mode not in ("with", "without"):
             o = replace(o, with_filename=False)
         label = "<stdin>" if o.json else "stdin"
-        return _print(replace(o, quiet=False), outcomes(o, corpus.from_bytes(spark, stdin, label), always=True), always=True)
+        return _print(replace(o, quiet=False), outcomes(o, corpus.from_bytes(spark, stdin, label), always=True), True, out)
     listed = selected(o, corpus.listing(spark, list(o.paths), o.hidden, o.follow, o.max_depth))
     if o.list_files:
         if o.quiet:
             return RunResult(0 if not listed.where(F.col("warning").isNull()).isEmpty() else 1)
         end = b"\0" if o.null else b"\n"
-        rows = ordered(o, listed.where(F.col("warning").isNull())).select("path").toLocalIterator()
-        return RunResult(0, b"".join(r["path"].encode("utf-8", "surrogateescape") + end for r in rows))
+        held: list[bytes] = []
+        for r in ordered(o, listed.where(F.col("warning").isNull())).select("path").toLocalIterator():
+            (out or held.append)(r["path"].encode("utf-8", "surrogateescape") + end)
+        return RunResult(0, b"".join(held))
     o = effective(o)
-    return _print(o, outcomes(o, corpus.with_content(listed)))
+    return _print(o, outcomes(o, corpus.with_content(listed)), False, out)
 
 
-def main(spark: SparkSession, argv: list[str], stdin: bytes | None = None, environment: dict[str, str] | None = None) -> RunResult:
-    """A command line to its result; exit code 2 for errors."""
+def main(spark: SparkSession, argv: list[str], stdin: bytes | None = None, environment: dict[str, str] | None = None, out: Callable[[bytes], object] | None = None) -> RunResult:
+    """A command line to its result; exit code 2 for errors. out: takes what is printed as it comes."""
     try:
-        return run(spark, parse(with_config(argv, {} if environment is None else environment)), stdin)
+        return run(spark, parse(with_config(argv, {} if environment is None else environment)), stdin, out)
     except (ValueError, OSError) as e:
         return RunResult(2, b"", f"error: {e}\n".encode())

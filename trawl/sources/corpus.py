@@ -18,6 +18,8 @@ from trawl.operators.transform import problem
 LISTING = "root_ix int, path string, rel_path string, depth int, size long, mtime_ns long, atime_ns long, warning string"
 #: Bytes of files that a task reads, about.
 TASK_BYTES = 64 << 20
+#: Bytes of files that a task holds at once, beyond a single file.
+READ_BYTES = 8 << 20
 
 
 def walk(root: str, hidden: bool = False, follow: bool = False, max_depth: int | None = None) -> Iterator[tuple[str, int, os.stat_result | None, str | None]]:
@@ -72,14 +74,10 @@ class CorpusReader(DataSourceReader):
         self.rows = rows
 
     def partitions(self) -> list[Part]:
-        parts: list[list[tuple]] = [[]]
-        held = 0
-        for row in self.rows:
-            if held and held + row[4] > TASK_BYTES:
-                parts.append([])
-                held = 0
-            parts[-1].append(row)
-            held += row[4]
+        tasks = shares([r[4] for r in self.rows])
+        parts: list[list[tuple]] = [[] for _ in range(tasks[-1] + 1 if tasks else 1)]
+        for row, task in zip(self.rows, tasks, strict=True):
+            parts[task].append(row)
         return [Part(p) for p in parts]
 
     def read(self, partition: Part) -> Iterator[tuple]:
@@ -132,38 +130,65 @@ class CorpusSource(DataSource):
         return PushingReader(rows) if o.get("pushdown") == "true" else CorpusReader(rows)
 
 
+def shares(sizes: list[int], most: int = TASK_BYTES) -> list[int]:
+    """For each size the number of the task it goes to: runs of about `most` bytes."""
+    out, task, held = [], 0, 0
+    for n in sizes:
+        if held and held + n > most:
+            task, held = task + 1, 0
+        out.append(task)
+        held += n
+    return out
+
+
 def listing(spark: SparkSession, paths: list[str], hidden: bool = False, follow: bool = False, max_depth: int | None = None) -> DataFrame:
-    """The files below paths without their content; a file below two paths is listed twice."""
+    """The files below paths without their content, in partitions of about TASK_BYTES of files; a file below two paths
+    is listed twice."""
     rows = []
     for ix, root in enumerate(paths):
         for path, d, status, warning in walk(root, hidden, follow, max_depth):
             rows.append((ix, path, relative(path, root), d, status.st_size if status else 0, status.st_mtime_ns if status else 0, status.st_atime_ns if status else 0, warning))
-    return spark.createDataFrame(rows, LISTING)
+    tasks = shares([r[4] for r in rows])
+    found = spark.createDataFrame([(*r, t) for r, t in zip(rows, tasks, strict=True)], f"{LISTING}, task int")
+    # as many partitions as tasks: each key's rows stay together, and few share a partition
+    return (found.repartition(tasks[-1] + 1, "task") if tasks and tasks[-1] else found.coalesce(1)).drop("task")
 
 
 def with_content(listed: DataFrame) -> DataFrame:
-    """The content of listed files, read where the rows are; what can't be read has a warning."""
+    """The content of listed files, read where the rows are, a file at a time up to READ_BYTES; what can't be read has
+    a warning."""
+    names = listed.columns
     schema = StructType([*listed.schema.fields]).add("content", "binary")
 
-    def read(frames):
-        import pandas as pd
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, warnings = (batch.column(names.index(c)).to_pylist() for c in ("path", "warning"))
+            start, held, contents = 0, 0, []
 
-        for frame in frames:
-            contents, warnings = [], []
-            for path, warning in zip(frame["path"], frame["warning"], strict=True):
+            def made(start: int, contents: list, batch=batch, warnings=warnings):
+                part = batch.slice(start, len(contents))
+                columns = [pa.array(warnings[start : start + len(contents)], pa.string()) if n == "warning" else part.column(k) for k, n in enumerate(names)]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(contents, pa.binary())], names=[*names, "content"])
+
+            for k, path in enumerate(paths):
                 content = None
-                if warning is None or pd.isna(warning):
-                    warning = None
+                if warnings[k] is None:
                     try:
                         with open(path, "rb") as f:
                             content = f.read()
                     except OSError as e:
-                        warning = problem(e)
+                        warnings[k] = problem(e)
                 contents.append(content)
-                warnings.append(warning)
-            yield frame.assign(warning=warnings, content=contents)
-
-    return listed.mapInPandas(read, schema)
+                held += len(content or b"")
+                if held > READ_BYTES:
+                    yield made(start, contents)
+                    start, held, contents = k + 1, 0, []
+            if contents:
+                yield made(start, contents)
+
+    return listed.mapInArrow(read, schema)
 
 
 def from_table(df: DataFrame, path: str, text: str) -> DataFrame:
