@@ -5,12 +5,14 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.operators import exact, lines, paths, transform
 from trawl.functions.pattern import compile_pattern
 from trawl.plans.options import UsageError, parse, with_config
 from trawl.plans.report import Text, display, json_text
 from trawl.plans.search import main, outcomes, totals
+from trawl.plans import search as search_plans
 from trawl.sources import corpus
 
 
@@ -28,60 +30,81 @@ def search(spark, tmp_path):
     return run
 
 
-MANY = {"many.txt": b"needle one\nskip\nneedle two\nneedle needle\n"}
-CONTEXT = {"a.txt": b"alpha\nbefore\nneedle one\nafter\ngap1\ngap2\nneedle two\ntail\n"}
+LOG = {"log.txt": b"start ok\ndisk warn 71%\nidle\ndisk fail 99%; disk gone\nstop ok\n"}
+POEM = {"poem.txt": b"roses\nare red\nviolets\nare blue\nsugar\nis sweet\nand so\nare you\n"}
+PAIRS = {"pairs.txt": b"k1=v1 k2=v2\n# none\nk3=v3\n"}
+BLOB = {"blob.dat": b"head\x00tail k1=v1"}
 CASES = [
-    (MANY, ["-c", "needle", "@"], "many.txt:3\n", 0),
-    (MANY, ["-m", "2", "needle", "@"], "many.txt:needle one\nmany.txt:needle two\n", 0),
-    (MANY, ["-c", "-m", "2", "needle", "@"], "many.txt:2\n", 0),
-    (MANY, ["-v", "needle", "@"], "many.txt:skip\n", 0),
-    (MANY, ["-v", "-c", "needle", "@"], "many.txt:1\n", 0),
-    (MANY, ["-q", "needle", "@"], "", 0),
-    (MANY, ["-q", "nothing", "@"], "", 1),
-    (MANY | {"two.txt": b"skip\n"}, ["-l", "needle", "@"], "many.txt\n", 0),
-    (MANY | {"two.txt": b"skip\n"}, ["-L", "needle", "@"], "two.txt\n", 0),
-    (MANY, ["-l", "--null", "needle", "@"], "many.txt\0", 0),
-    ({"all.txt": b"x a\nx b\n", "mixed.txt": b"x\ny\n"}, ["-v", "-L", "x", "@"], "all.txt\n", 0),
-    ({"a.txt": b"needle one needle two\nneedle three\n"}, ["-o", "-m", "1", "needle", "@"], "a.txt:needle\na.txt:needle\n", 0),
-    ({"a.txt": b"foo here\nbar there\nbaz only\n"}, ["-e", "foo", "-e", "bar", "@"], "a.txt:foo here\na.txt:bar there\n", 0),
-    ({"a.txt": b"a.b\n[x]\naxb\n"}, ["-F", "-e", "a.b", "-e", "[x]", "@"], "a.txt:a.b\na.txt:[x]\n", 0),
-    (CONTEXT, ["-C", "1", "needle", "@"], "a.txt-before\na.txt:needle one\na.txt-after\n--\na.txt-gap2\na.txt:needle two\na.txt-tail\n", 0),
-    (CONTEXT, ["-n", "-B", "1", "-m", "1", "needle", "@"], "a.txt-2-before\na.txt:3:needle one\n", 0),
-    ({"a.txt": b"needle one needle two\n"}, ["-r", "HIT", "needle", "@"], "a.txt:HIT one HIT two\n", 0),
-    ({"a.txt": b"before\nneedle one needle two\nafter\n"}, ["-C", "1", "-r", "HIT", "needle", "@"], "a.txt-before\na.txt:HIT one HIT two\na.txt-after\n", 0),
-    ({"a.txt": b"foo bar\n"}, ["-r", "X$2-$1-$0", "(foo) (bar)", "@"], "a.txt:Xbar-foo-foo bar\n", 0),
-    ({"a.txt": b"foo bar\n"}, ["-o", "-r", "$2/$1/$0", "(foo) (bar)", "@"], "a.txt:bar/foo/foo bar\n", 0),
-    ({"a.txt": b"foo bar\n"}, ["-o", "-r", "$$${second}-${first}${no", "(?P<first>foo) (?P<second>bar)", "@"], "a.txt:$bar-foo${no\n", 0),
-    ({"a.txt": b"axxbxxb\n"}, ["-o", "a.+?b", "@"], "a.txt:axxb\n", 0),
-    ({"a.txt": b"a\nb\na\nb\n"}, ["-n", "(?m:^b$)", "@"], "a.txt:2:b\na.txt:4:b\n", 0),
-    ({"a.txt": b"a\nb\na\nb\n"}, ["(?-m:^b$)", "@"], "", 1),
-    ({"a.txt": b"a\nb\na\nb\n"}, ["-U", "-c", "(?s:a.b)", "@"], "a.txt:2\n", 0),
-    ({"a.txt": b"xx\xffneedleyy\n"}, ["needle", "@"], "a.txt:xx\\xFFneedleyy\n", 0),
-    ({"a.bin": b"xx\x00needleyy"}, ["needle", "@"], "", 1),
-    ({"a.bin": b"xx\x00needleyy"}, ["--text", "needle", "@"], "a.bin:xx\x00needleyy\n", 0),
-    ({"a.bin": b"xx\x00needleyy"}, ["--binary", "needle", "@"], 'binary file matches (found "\\0" byte around offset 2)\n', 0),
-    ({"a.bin": bytes(range(1, 9)) + b"\x0eneedle\n"}, ["-l", "needle", "@"], "", 1),
-    ({"a.txt": "﻿needle\n".encode("utf-16-le")}, ["needle", "@"], "a.txt:needle\n", 0),
-    ({"a.txt": "﻿needle\n".encode("utf-16-be")}, ["-c", "needle", "@"], "a.txt:1\n", 0),
-    ({"a.txt": "needle\n".encode("utf-16-le")}, ["-E", "utf16le", "needle", "@"], "a.txt:needle\n", 0),
-    ({"a.txt": b"caf\xe9 needle\n"}, ["-E", "latin1", "needle", "@"], "a.txt:café needle\n", 0),
-    ({"a.gz": gzip.compress(b"needle\n"), "b.txt": b"needle\n"}, ["-z", "needle", "@"], "a.gz:needle\nb.txt:needle\n", 0),
-    ({"a.txt": b"zero\nabc\ndefxxxabc\ndefxxx\ntail\n"}, ["-U", "-n", "abc\\ndef", "@"], "a.txt:2:abc\ndefxxxabc\ndefxxx\n", 0),
-    ({"a.txt": b"before\nabc\ndef\nafter\ngap1\ngap2\nabc\ndef\ntail\n"}, ["-U", "-C", "1", "abc\\ndef", "@"], "a.txt-before\na.txt:abc\ndef\na.txt-after\n--\na.txt-gap2\na.txt:abc\ndef\na.txt-tail\n", 0),
-    ({"a.txt": b"pre\nabc\nabc\nabc\npost\n"}, ["-U", "-c", "abc\\nabc", "@"], "a.txt:1\n", 0),
-    ({"root.txt": b"x", "n/child.txt": b"x", "n/d/g.txt": b"x"}, ["--max-depth", "1", "--files", "@"], "n/child.txt\nroot.txt\n", 0),
-    ({"Keep.ZIG": b"x", "skip.md": b"x"}, ["--iglob", "*.zig", "--files", "@"], "Keep.ZIG\n", 0),
-    ({"one.txt": b"x", "main.txt": b"x", "z.md": b"x"}, ["-g", "*.txt", "-g", "!main.txt", "--files", "@"], "one.txt\n", 0),
-    ({"a.zig": b"x", "R.md": b"x"}, ["-T", "zig", "--files", "@"], "R.md\n", 0),
-    ({"h.web": b"x", "R.md": b"x"}, ["--type-add", "web:*.web", "-t", "web", "--files", "@"], "h.web\n", 0),
-    ({".gitignore": b"ignored.txt\nsub/*\n!sub/keep.txt\ndir/\n", "ignored.txt": b"x", "sub/no.txt": b"x", "sub/keep.txt": b"x", "dir/x.txt": b"x"}, ["--files", "@"], "dir/x.txt\nsub/keep.txt\n", 0),
-    ({".gitignore": b"ignored.txt\n", "ignored.txt": b"x", ".hidden": b"x"}, ["-u", "--files", "@"], "ignored.txt\n", 0),
-    ({".gitignore": b"ignored.txt\n", "ignored.txt": b"x", ".hidden": b"x"}, ["-uu", "--files", "@"], ".gitignore\n.hidden\nignored.txt\n", 0),
-    ({"custom.ignore": b"blocked.txt\n", "blocked.txt": b"x"}, ["--ignore-file", "@/custom.ignore", "--files", "@"], "custom.ignore\n", 0),
-    ({"a.txt": b"needle\n", "b.txt": b"needle\n"}, ["--sortr", "path", "needle", "@"], "b.txt:needle\na.txt:needle\n", 0),
-    ({"a.txt": b"needle\n", "b.txt": b"needle\n"}, ["--heading", "-n", "needle", "@"], "a.txt\n1:needle\n\nb.txt\n1:needle\n", 0),
-    ({"a.txt": b"x needle\n"}, ["-n", "--column", "needle", "@/a.txt"], "1:3:x needle\n", 0),
-    ({"a.txt": b"x needle\n"}, ["needle", "@/a.txt"], "x needle\n", 0),
+    # counts, limits, inversion
+    (LOG, ["-c", "disk", "@"], "log.txt:2\n", 0),
+    (LOG, ["-m", "1", "disk", "@"], "log.txt:disk warn 71%\n", 0),
+    (LOG, ["-c", "-m", "1", "disk", "@"], "log.txt:1\n", 0),
+    (LOG, ["-v", "disk|ok", "@"], "log.txt:idle\n", 0),
+    (LOG, ["-v", "-c", "disk", "@"], "log.txt:3\n", 0),
+    (LOG, ["-o", "-m", "1", "[a-z]{4}", "@"], "log.txt:star\n", 0),
+    (LOG, ["-o", "disk [fg]", "@"], "log.txt:disk f\nlog.txt:disk g\n", 0),
+    # exit codes, files
+    (LOG, ["-q", "idle", "@"], "", 0),
+    (LOG, ["-q", "busy", "@"], "", 1),
+    (LOG | POEM, ["-l", "are", "@"], "poem.txt\n", 0),
+    (LOG | POEM, ["-L", "are", "@"], "log.txt\n", 0),
+    (LOG | POEM, ["-l", "--null", "are", "@"], "poem.txt\0", 0),
+    ({"full.txt": b"k=1\nk=2\n", "part.txt": b"k=1\n#\n"}, ["-v", "-L", "k=", "@"], "full.txt\n", 0),
+    ({"full.txt": b"k=1\nk=2\n", "part.txt": b"k=1\n#\n"}, ["-v", "-l", "k=", "@"], "part.txt\n", 0),
+    # several and literal patterns
+    (POEM, ["-e", "red", "-e", "sug[a-z]r", "@"], "poem.txt:are red\npoem.txt:sugar\n", 0),
+    ({"calc.txt": b"1+1=2\n11=2\n(x)\nx\n"}, ["-F", "-e", "1+1", "-e", "(x)", "@"], "calc.txt:1+1=2\ncalc.txt:(x)\n", 0),
+    (POEM, ["-S", "rOSES", "@"], "", 1),
+    (POEM, ["-i", "rOSES", "@"], "poem.txt:roses\n", 0),
+    # context
+    (POEM, ["-C", "1", "red|so", "@"], "poem.txt-roses\npoem.txt:are red\npoem.txt-violets\n--\npoem.txt-is sweet\npoem.txt:and so\npoem.txt-are you\n", 0),
+    (POEM, ["-n", "-B", "2", "-m", "1", "blue|you", "@"], "poem.txt-2-are red\npoem.txt-3-violets\npoem.txt:4:are blue\n", 0),
+    (POEM, ["-A", "1", "--no-filename", "sweet", "@"], "is sweet\nand so\n", 0),
+    # replacement
+    (LOG, ["-r", "DISK", "disk", "@"], "log.txt:DISK warn 71%\nlog.txt:DISK fail 99%; DISK gone\n", 0),
+    (LOG, ["-B", "1", "-r", "<$0>", "idle", "@"], "log.txt-disk warn 71%\nlog.txt:<idle>\n", 0),
+    (PAIRS, ["-r", "${2}:$1", "(k[0-9])=(v[0-9])", "@"], "pairs.txt:v1:k1 v2:k2\npairs.txt:v3:k3\n", 0),
+    (PAIRS, ["-o", "-r", "$key,$$,$9,${nope},$ 1", "(?P<key>k3)=", "@"], "pairs.txt:k3,$,,,$ 1\n", 0),
+    (PAIRS, ["-o", "-r", "${²}$²-${", "k3", "@"], "pairs.txt:$²-${\n", 0),
+    # spans end as early as they can
+    (PAIRS, ["-o", "k.+v", "@"], "pairs.txt:k1=v\npairs.txt:k2=v\npairs.txt:k3=v\n", 0),
+    (PAIRS, ["-o", "k3=?=v|k3", "@"], "pairs.txt:k3\n", 0),
+    # ends of lines and of the text
+    (POEM, ["-n", "(?m)^are.*d$", "@"], "poem.txt:2:are red\n", 0),
+    (POEM, ["^are", "@"], "", 1),
+    (POEM, ["^roses", "@"], "poem.txt:roses\n", 0),
+    # bytes, binary files, encodings
+    ({"raw.txt": b"ab\xfe\x01cd\n"}, ["cd", "@"], "raw.txt:ab\\xFE\\x01cd\n", 0),
+    (BLOB, ["k1", "@"], "", 1),
+    (BLOB, ["--text", "k1", "@"], "blob.dat:head\x00tail k1=v1\n", 0),
+    (BLOB, ["--binary", "k1", "@"], 'binary file matches (found "\\0" byte around offset 4)\n', 0),
+    (BLOB, ["--binary", "k2", "@"], "", 1),
+    ({"bell.dat": b"\x07" * 8 + b"k1\n"}, ["-l", "k1", "@"], "", 1),
+    ({"wide.txt": "\ufeffdéjà vu\n".encode("utf-16-le")}, ["-c", "vu", "@"], "wide.txt:1\n", 0),
+    ({"wide.txt": "\ufeffdéjà vu\n".encode("utf-16-be")}, ["vu", "@"], "wide.txt:déjà vu\n", 0),
+    ({"wide.txt": "vu\n".encode("utf-16-be")}, ["-E", "utf16be", "vu", "@"], "wide.txt:vu\n", 0),
+    ({"old.txt": b"na\xefve\n"}, ["-E", "latin1", "ï", "@"], "old.txt:naïve\n", 0),
+    ({"z.gz": gzip.compress(b"idle\n"), "plain.txt": b"not idle\n"}, ["-z", "idle", "@"], "plain.txt:not idle\nz.gz:idle\n", 0),
+    # several lines
+    (POEM, ["-U", "-n", "red\\nvio", "@"], "poem.txt:2:are red\nviolets\n", 0),
+    (POEM, ["-U", "-C", "1", "red\\nvio|sweet\\nand", "@"], "poem.txt-roses\npoem.txt:are red\nviolets\npoem.txt-are blue\npoem.txt-sugar\npoem.txt:is sweet\nand so\npoem.txt-are you\n", 0),
+    (POEM, ["-U", "-c", "s(?s:.)are", "@"], "poem.txt:2\n", 0),
+    (POEM, ["-U", "-o", "d\\nv", "@"], "poem.txt:d\nv\n", 0),
+    # which files
+    ({"top.txt": b"-", "in/mid.txt": b"-", "in/deep/low.txt": b"-"}, ["--max-depth", "1", "--files", "@"], "in/mid.txt\ntop.txt\n", 0),
+    ({"READ.Me": b"-", "other.txt": b"-"}, ["--iglob", "*.ME", "--files", "@"], "READ.Me\n", 0),
+    ({"x.cfg": b"-", "y.cfg": b"-", "z.ini": b"-"}, ["-g", "*.cfg", "-g", "!y.*", "--files", "@"], "x.cfg\n", 0),
+    ({"run.py": b"-", "run.sh": b"-"}, ["-T", "shell", "--files", "@"], "run.py\n", 0),
+    ({"a.conf": b"-", "run.sh": b"-"}, ["--type-add", "conf:*.conf,*.cnf", "-t", "conf", "--files", "@"], "a.conf\n", 0),
+    ({".gitignore": b"# cached\n*.tmp\n  !kept.tmp \nout/\n/only-top\n", "a.tmp": b"-", "kept.tmp": b"-", "out/b.txt": b"-", "only-top": b"-", "out/only-top": b"-"}, ["--files", "@"], "kept.tmp\nout/b.txt\nout/only-top\n", 0),
+    ({".gitignore": b"*.tmp\n", "a.tmp": b"-", ".rc": b"-"}, ["-u", "--files", "@"], "a.tmp\n", 0),
+    ({".gitignore": b"*.tmp\n", "a.tmp": b"-", ".rc": b"-"}, ["-uu", "--files", "@"], ".gitignore\n.rc\na.tmp\n", 0),
+    ({"my.rules": b"*.md\n", "a.md": b"-"}, ["--ignore-file", "@/my.rules", "--files", "@"], "my.rules\n", 0),
+    # order and form
+    ({"p.txt": b"idle\n", "q.txt": b"idle\n"}, ["--sortr", "path", "idle", "@"], "q.txt:idle\np.txt:idle\n", 0),
+    ({"p.txt": b"idle\n", "q.txt": b"-\nidle\n"}, ["--heading", "-n", "idle", "@"], "p.txt\n1:idle\n\nq.txt\n2:idle\n", 0),
+    ({"p.txt": b"so idle\n"}, ["-n", "--column", "idle", "@/p.txt"], "1:4:so idle\n", 0),
+    ({"p.txt": b"so idle\n"}, ["idle", "@/p.txt"], "so idle\n", 0),
 ]
 
 
@@ -93,23 +116,31 @@ def test_search(search, case):
 
 
 def test_stdin(search):
-    assert search({}, "-c", "needle", stdin=b"needle one\nskip\nneedle two\n").text == "2\n"
-    assert '"type":"begin"' in search({}, "--json", "nothing", stdin=b"x").text
+    assert search({}, "-c", "o", stdin=b"one\nskip\ntwo\n").text == "2\n"
+    assert '"type":"begin"' in search({}, "--json", "three", stdin=b"one").text
+
+
+def test_output_comes_as_it_is_made(spark, tmp_path):
+    for name in "pq":
+        (tmp_path / name).write_bytes(b"idle\n")
+    parts = []
+    r = main(spark, ["--stats", "idle", str(tmp_path)], None, None, parts.append)
+    assert r.stdout == b"" and parts == [f"{tmp_path}/{n}:idle\n".encode() for n in "pq"] and r.stats["printed_bytes"] == sum(map(len, parts))
 
 
 def test_warnings(search, tmp_path):
-    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
-    r = search({"a.txt": b"needle\n"}, "--follow", "needle", "@")
-    assert r.text == "a.txt:needle\n" and b"gone: file not found" in r.stderr
-    assert search({}, "needle", "@/missing").exit_code == 2
+    (tmp_path / "lost").symlink_to(tmp_path / "nowhere")
+    r = search({"p.txt": b"idle\n"}, "--follow", "idle", "@")
+    assert r.text == "p.txt:idle\n" and b"lost: file not found" in r.stderr
+    assert search({}, "idle", "@/missing").exit_code == 2
 
 
 def test_sort_by_time(search, tmp_path):
     for argv, want in ((["--sort", "modified"], "old.txt\nnew.txt\n"), (["--sortr", "accessed"], "new.txt\nold.txt\n")):
         for k, name in enumerate(("new.txt", "old.txt")):  # each time, as reading changes the time of access
-            (tmp_path / name).write_bytes(b"needle\n")
+            (tmp_path / name).write_bytes(b"idle\n")
             os.utime(tmp_path / name, ns=(10**18 - k * 10**12, 10**18 - k * 10**12))
-        assert search({}, *argv, "-l", "needle", "@").text == want
+        assert search({}, *argv, "-l", "idle", "@").text == want
 
 
 def test_symlinks(search, tmp_path):
@@ -121,20 +152,20 @@ def test_symlinks(search, tmp_path):
 
 
 def test_json(search):
-    r = search({"a.txt": b"abc\ndef\nabc\ndef\n"}, "-U", "--json", "abc\\ndef", "@")
-    assert '"submatches":[{"match":{"text":"abc\\ndef"},"start":0,"end":7},{"match":{"text":"abc\\ndef"},"start":8,"end":15}]' in r.text
+    r = search({"p.txt": b"up\ndown\nup\ndown\n"}, "-U", "--json", "up\\ndown", "@")
+    assert '"submatches":[{"match":{"text":"up\\ndown"},"start":0,"end":7},{"match":{"text":"up\\ndown"},"start":8,"end":15}]' in r.text
     assert '"matched_lines":4,"matches":2' in r.text and '"elapsed":{"secs":' in r.text
     assert [json.loads(line)["type"] for line in r.text.splitlines()] == ["begin", "match", "end", "summary"]
 
 
 def test_preprocessor(search):
-    assert search({"a.txt": b"needle\n"}, "--pre", "cat", "needle", "@").text == "a.txt:needle\n"
-    r = search({"a.txt": b"needle\n"}, "--pre", "false", "needle", "@")
+    assert search({"a.txt": b"idle\n"}, "--pre", "cat", "idle", "@").text == "a.txt:idle\n"
+    r = search({"a.txt": b"idle\n"}, "--pre", "false", "idle", "@")
     assert r.exit_code == 1 and b"preprocessor exited with non-zero status" in r.stderr
 
 
 def test_broken_gzip_and_stats(search):
-    r = search({"a.gz": b"\x1f\x8bbad", "b.txt": b"needle\nneedle\n", "c": b"\0"}, "--stats", "-z", "needle", "@")
+    r = search({"a.gz": b"\x1f\x8bbad", "b.txt": b"idle\nidle\n", "c": b"\0"}, "--stats", "-z", "idle", "@")
     assert b"invalid compressed input" in r.stderr and b"2 matches\n2 matched lines\n1 files contained matches\n1 files searched" in r.stderr
     assert b"1 file was skipped as binary\n1 warning was emitted" in r.stderr
 
@@ -162,8 +193,8 @@ def test_config(tmp_path):
 
 
 def test_display():
-    assert display(b"aa\x00\xffneedle\x1b\r\t\xc3\xa9\n", False) == b"aa\\x00\\xFFneedle\\x1B\\x0D\t\xc3\xa9\\x0A"
-    assert json_text(b'a"\\\x01\xff\n', True) == '{"text":"a\\"\\\\\\\\x01\\\\xFF\\n\\n"}'
+    assert display(b"\x00 \xfe\x7f~\x1b\t\r\xc3\xa9\n", False) == b"\\x00 \\xFE\\x7F~\\x1B\t\\x0D\xc3\xa9\\x0A"
+    assert json_text(b'"\\ \x02\xfe\n', True) == '{"text":"\\"\\\\ \\\\x02\\\\xFE\\n\\n"}'
 
 
 def test_lines_of_text():
@@ -196,18 +227,18 @@ def test_exact_on_binary(spark):
 
 
 def test_events_of_many_lines(spark):
-    text = "\n".join("é" * (i % 7) + ("needle" if i % 3 == 0 else "") for i in range(1500))
-    rows = lines.events(spark.createDataFrame([(1, text)], "p int, t string"), "p", "t", compile_pattern("needle")).collect()
+    text = "\n".join("é" * (i % 7) + ("idle" if i % 3 == 0 else "") for i in range(1500))
+    rows = lines.events(spark.createDataFrame([(1, text)], "p int, t string"), "p", "t", compile_pattern("idle")).collect()
     data = text.encode()
     assert len(rows) == 500
     for r in rows:
         at = r["absolute_offset"]
         assert data[at : at + len(r["line"].encode())] == r["line"].encode() and (at == 0 or data[at - 1] == 10)
-        assert data[at + r["start"] : at + r["end"]] == b"needle"
+        assert data[at + r["start"] : at + r["end"]] == b"idle"
 
 
 def test_not_native():
-    for p in ("a*", "^a", "[^a]b", "(?:ab)+"):
+    for p in ("a*", "^a", "[^a]b", "x(?:ab)+c", "a[ab]*b*b*c"):
         with pytest.raises(lines.NotNative):
             lines.exists(compile_pattern(p), None)
 
@@ -221,11 +252,11 @@ def test_table_and_empty(spark):
 
 
 def test_data_source(spark, tmp_path):
-    (tmp_path / "_a").write_bytes(b"needle")
+    (tmp_path / "_a").write_bytes(b"idle")
     (tmp_path / ".b").write_bytes(b"x")
     spark.dataSource.register(corpus.CorpusSource)
     df = spark.read.format("trawl_corpus").option("paths", str(tmp_path)).load()
-    assert [(r.rel_path, bytes(r.content)) for r in df.collect()] == [("_a", b"needle")]
+    assert [(r.rel_path, bytes(r.content)) for r in df.collect()] == [("_a", b"idle")]
     (tmp_path / "c.txt").write_bytes(b"y")
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("trawl_corpus").option("paths", str(tmp_path)).option("hidden", "true").option("pushdown", "true").load()
@@ -239,6 +270,63 @@ def test_table_function(spark):
     assert [tuple(r) for r in spark.sql("SELECT g.* FROM one_text, LATERAL trawl_grep(t, 'a.+b') g").collect()] == [(1, 3, "zzaxxbxxbyy", "axxb")]
 
 
+def test_preprocessor_output_is_bounded(monkeypatch):
+    monkeypatch.setattr(transform, "PRE_MOST", 1000)
+    with pytest.raises(transform.ContentError, match="PreprocessorTooMuchOutput"):
+        transform.preprocess("cat /dev/zero", "/dev/null")
+    assert transform.preprocess("echo", "x") == b"x\n"
+
+
+def test_files_are_read_one_by_one(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        (tmp_path / f"{k:02d}").write_bytes(b"x" * 10 * k)
+    monkeypatch.setattr(corpus, "READ_BYTES", 100)
+    assert corpus.shares([5, 5, 20, 1, 1, 1], 10) == [0, 0, 1, 2, 2, 2]
+    found = corpus.with_content(corpus.listing(spark, [str(tmp_path)])).select("rel_path", "content").collect()
+    assert sorted((r.rel_path, len(r.content)) for r in found) == [(f"{k:02d}", 10 * k) for k in range(30)]
+
+
+def test_known_without_python(spark):
+    """What Java can tell of a file agrees with what the reporter makes of it."""
+    contents = [b"k1\n", b"none\n", b"", b"\x00k1", b"\x00", b"\xff\xfek\x001\x00", b"\xfe k1", b"\xfe", b"\xef\xbb\xbfk1"]
+    files = spark.createDataFrame([(0, str(i), bytearray(c)) for i, c in enumerate(contents)], "root_ix int, path string, content binary")
+    for argv in (["k[0-9]"], ["-c", "k1"], ["-l", "k1"], ["-L", "k1"], ["-v", "k1"], ["--binary", "k1"], ["--text", "k1"], ["-E", "none", "k.*1"], ["-E", "utf16le", "k1"], ["--json", "k1"]):
+        o = parse(argv)
+        reporter = search_plans.FileReporter(o)
+        want = [(str(i), x.printed, x.matched, x.matched_lines, x.matches, x.searched_bytes, x.searched, x.skipped_binary) for i, c in enumerate(contents) if (x := attempt(reporter, str(i), c)) is not None]
+        rows = outcomes(o, files.where(F.col("path").isin([w[0] for w in want]))).orderBy("path").collect()
+        got = [(r.path, bytes(r.printed), r.matched, r.matched_lines, r.matches, r.searched_bytes, r.searched, r.skipped_binary) for r in rows]
+        if "--json" in argv:  # it tells how long it took
+            want, got = ([w[0], *w[2:]] for w in want), ([g[0], *g[2:]] for g in got)
+        assert list(got) == list(want), argv
+
+
+def attempt(reporter, path, content):
+    try:
+        return reporter.report(path, content)
+    except ValueError:  # broken UTF-16 ends a search
+        return None
+
+
+def test_listed(spark):
+    rows = ["a", ".a", "d/a", "d/.a", ".d/a", "d/e/a"]
+    df = spark.createDataFrame([(r,) for r in rows], "p string")
+    shown = lambda **o: [r.p for r in df.where(paths.listed(F.col("p"), **o)).collect()]
+    assert shown() == ["a", "d/a", "d/e/a"] and shown(hidden=True) == rows and shown(max_depth=1) == ["a", "d/a"] and shown(max_depth=0) == ["a"]
+
+
+def test_ignore_lines():
+    text = "# c\n  # c\n\n!\n/\nx\n !y \n/z\nd/\n!#e\n a b \n"
+    assert paths.ignore_lines(text, "/at") == [("/at/", "x", True), ("/at/", "y", False), ("/at/", "/z", True), ("/at/", "#e", False), ("/at/", "a b", True)]
+
+
+def test_context_groups(spark):
+    text = "\n".join("x" if i in (2, 3, 9, 20) else "-" for i in range(25))
+    df = spark.createDataFrame([(1, text), (2, "-")], "p int, t string")
+    found = lines.context_groups(df, "p", "t", compile_pattern("x"), 1, 1).collect()
+    assert [(r.line_number, r.is_match, r.group_id) for r in found] == [(i + 1, i in (2, 3, 9, 20), g) for g, part in enumerate(((1, 2, 3, 4), (8, 9, 10), (19, 20, 21)), 1) for i in part]
+
+
 def test_stream(spark, sf_dir, tmp_path):
     from trawl.streaming.search import search_stream, stream_table
 
