@@ -186,23 +186,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("path").agg(F.count("*").alias("count"))
 
 
-@query("grep_multiline_blocks")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.blocks(_table(spark, sf_dir, "documents"), "doc_id", "text", compile_pattern(r"\.\nTh", multiline=True)).select("path", "start_line", "end_line", F.col("block").cast("string").alias("block"), F.size("submatches").alias("n"))
-
-
 @query("grep_exact_lines", _lines_where("regexp_matches(line, '(an|on)+ed')"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.matches(_table(spark, sf_dir, "documents"), "doc_id", "text", compile_pattern("(an|on)+ed"), "lines")
     return found.select("path", F.col("line_number").cast("int").alias("line_number"), F.col("line").cast("string").alias("line"))
 
 
-@query("grep_earliest_end")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact.matches(_table(spark, sf_dir, "documents"), "doc_id", "text", compile_pattern("(th)[a-z]+(ing|ion)"))
-    return found.select("path", "line_number", "column_number", F.col("match").cast("string").alias("match"), "groups")
-
-
 @query("grep_exact_spans", f"SELECT doc_id AS path, line_number, unnest(regexp_extract_all(line, 't[aeiou][a-z]n')) AS match FROM ({LINES})")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.matches(_table(spark, sf_dir, "documents"), "doc_id", "text", compile_pattern("t[aeiou][a-z]n"))
@@ -247,11 +236,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.with_match(_table(spark, sf_dir, "pages"), "url", "html", compile_pattern("tion")).orderBy("path")
 
 
-@query("grep_type_list")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, ", ".join(g)) for n, g in paths.TypeTable.build().types.items()], "name string, globs string")
-
-
 @query("grep_binary_detect", "SELECT doc_id AS path, doc_id % 3 = 0 AS is_binary FROM documents WHERE text IS NOT NULL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(b"ab\0"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
@@ -289,14 +273,4 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.with_match(_table(spark, sf_dir, "events"), "event_id", "props", compile_pattern('"[a-z]+": ?[0-9]{2}'))
 
 
-@query("grep_text_output")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a search prints about each document, made where the document is."""
-    files = _table(spark, sf_dir, "documents").select(F.lit(0).alias("root_ix"), F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
-    found = outcomes(Options(patterns=("idiot|[0-9]{4}",), line_number=True, before=1, after=1), files)
-    return found.where("matched").select("path", F.col("printed").cast("string").alias("printed"), "matched_lines")
-
-
-@query("grep_files_listing", "SELECT url AS path FROM pages")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
+from trawl import catalog_reports  # noqa: E402, F401  (adds its queries)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.operators import exact, transform
@@ -52,6 +52,15 @@ def ordered(o: Options, df: DataFrame) -> DataFrame:
     return df.orderBy("root_ix", *((F.col(k).desc() if o.reverse else F.col(k)) for k in keys))
 
 
+def numbered(o: Options, found: DataFrame) -> DataFrame:
+    """found with `place`, its number (from 0) in the order of the output, so that executors can write it: ranges are
+    sorted side by side, and only their sizes are put together."""
+    sorted_ = ordered(o, found).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    starts = sizes.select(F.col("_part").alias("_p"), "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return sorted_.join(starts, F.col("_part") == F.col("_p")).withColumn("place", F.col("_row") - F.col("_first") + F.col("_start")).drop("_part", "_row", "_p", "_first", "_start")
+
+
 def _searched_natively(o: Options, always: bool) -> Column:
     """Whether what comes of a file is known without looking for matches in Python: it is passed over as binary, or
     searched as it is without a match, of which nothing is printed."""
