@@ -273,4 +273,4 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.with_match(_table(spark, sf_dir, "events"), "event_id", "props", compile_pattern('"[a-z]+": ?[0-9]{2}'))
 
 
-from trawl import catalog_reports  # noqa: E402, F401  (adds its queries)
+from trawl import catalog_folders, catalog_reports  # noqa: E402, F401  (they add their queries)
