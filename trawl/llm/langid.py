@@ -45,13 +45,14 @@ class Scores:
     language: np.ndarray
     more: np.ndarray
 
-    def get(self, x: str) -> np.ndarray | None:
-        if (row := self.rows.get(x)) is None:
-            return None
-        a, b = self.starts[row], self.starts[row + 1]
-        made = self.base.copy()
-        made[self.language[a:b]] += self.more[a:b]
-        return made
+    def sums(self, rows: list[int], owner: list[int], n: int) -> np.ndarray:
+        """For each of n owners the sum of its rows' scores."""
+        at, own = np.array(rows, np.int64), np.array(owner, np.int64)
+        size = self.starts[at + 1] - self.starts[at]
+        each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[at], size)
+        wide = len(self.base)
+        found = np.bincount(np.repeat(own, size) * wide + self.language[each], weights=self.more[each], minlength=n * wide).reshape(n, wide)
+        return found + np.bincount(own, minlength=n)[:, None] * self.base
 
 
 @dataclass
@@ -101,18 +102,31 @@ def fit(words: dict[str, Counter], least: int = LEAST) -> LanguageModel:
     return LanguageModel(languages, _logs(words, languages, least), _logs(grams, languages, least))
 
 
-def word_score(model: LanguageModel, word: str) -> np.ndarray:
-    """Log evidence of a word for each language."""
-    if (known := model.words.get(word)) is not None:
-        return known
-    held, total, n = f"^{word}$", np.zeros(len(model.languages), np.float32), 0
-    for i in range(len(held)):
-        for size in range(min(GRAM, len(held) - i), 0, -1):
-            if (known := model.grams.get(held[i : i + size])) is not None:
-                total += known
-                n += 1
-                break
-    return total / np.float32(n) if n else total
+def word_scores(model: LanguageModel, words: list[str]) -> np.ndarray:
+    """Log evidence of words for each language: their own, or else the mean of their longest known n-grams'."""
+    known, known_at, parts, parts_at = [], [], [], []
+    word_row, gram_row = model.words.rows.get, model.grams.rows.get
+    for k, word in enumerate(words):
+        if (row := word_row(word)) is not None:
+            known.append(row)
+            known_at.append(k)
+            continue
+        held = f"^{word}$"
+        for i in range(len(held)):
+            for end in range(min(i + GRAM, len(held)), i, -1):
+                if (row := gram_row(held[i:end])) is not None:
+                    parts.append(row)
+                    parts_at.append(k)
+                    break
+    n = len(words)
+    means = model.grams.sums(parts, parts_at, n) / np.maximum(1, np.bincount(np.array(parts_at, np.int64), minlength=n))[:, None]
+    return (model.words.sums(known, known_at, n) + means).astype(np.float32)
+
+
+def _packed(model: LanguageModel, words: list[str]) -> list[bytes]:
+    """word_scores as bytes, a bounded number of scores at once."""
+    step = max(1, SUMMED // max(1, len(model.languages)))
+    return [row.tobytes() for at in range(0, len(words), step) for row in word_scores(model, words[at : at + step])]
 
 
 def _sums(scores: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -141,9 +155,9 @@ def predict(model: LanguageModel, table: Memo, texts: list[str]) -> tuple[list[s
     if not model.languages or not sizes.sum():
         return ["und"] * len(texts), [0.0] * len(texts)
     long = [w for w in distinct if len(w) > KEPT_CHARS]
-    known = table.fill(distinct.difference(long), lambda new: [word_score(model, w).tobytes() for w in new])
+    known = table.fill(distinct.difference(long), lambda new: _packed(model, new))
     order = list(distinct)
-    extra = {w: word_score(model, w).tobytes() for w in long}
+    extra = dict(zip(long, _packed(model, long), strict=True))
     rows = b"".join(known[w] if w in known else extra[w] for w in order) if long else b"".join(map(known.__getitem__, order))
     scores = np.frombuffer(rows, np.float32).reshape(len(order), -1)
     place = dict(zip(order, range(len(order)), strict=True))
