@@ -26,11 +26,12 @@ def components(links: DataFrame) -> DataFrame:
     seen = tuple(now.agg(*check).first())
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both, 2 * seen[0]).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _nearest(both, 2 * seen[0]).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settle(large.distinct(), "links")
         small = _nearest(large, seen[0])
         made = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
         before, now = now, settle(made.distinct(), "links")
-        discard(before)
+        discard(before, large)
         state = tuple(now.agg(*check).first())
         if state == seen:
             break

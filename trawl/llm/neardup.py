@@ -37,7 +37,7 @@ CHUNKS, WIDTH = 17, 4
 POSITIONS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: Members of a bucket that a task compares at once; larger buckets are cut into blocks of about so many.
-BLOCK = 3000
+BLOCK = 1000
 #: Members of a loose group, and shingles of theirs, that a task compares at once, about.
 MEMBERS, SHINGLES = 1000, 4_000_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
