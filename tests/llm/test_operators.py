@@ -15,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from trawl.llm import chat, decontaminate, graph, html, langid, mixing, neardup, quality, queries, tokens, toxicity, wavelet  # noqa: E402
+from trawl.llm import chat, common, decontaminate, graph, html, langid, mixing, neardup, quality, queries, tokens, toxicity, wavelet  # noqa: E402
 from trawl.llm.common import ASCII_LOWER, Memo, small_batches  # noqa: E402
 
 SPM, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -532,7 +532,7 @@ def test_language_odd(odd, none, docs):
 
 def test_backoff():
     model = langid.fit({"b": Counter(quap=3, dren=3), "a": Counter(zork=3, blim=3)}, least=2)
-    assert model.words.get("zork") is not None and model.words.get("zorkish") is None
+    assert "zork" in model.words.rows and "zorkish" not in model.words.rows
     langs, shares = langid.predict(model, Memo(10), ["zorkish", "quapper", "zork quap quap", "1 2", "² ½Ⅷ _", "zork quap"])
     assert langs == ["a", "b", "b", "und", "und", "a"]  # of equal evidence, the first
     assert shares[5] == pytest.approx(0.5)
@@ -779,6 +779,27 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_spread_join(spark, monkeypatch):
+    """As a plain join; hot keys and rows without a key are dealt out."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(7, i) for i in range(500)] + [(None, i) for i in range(300)] + [(i % 40, i) for i in range(200)] + [(99, 0)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    stats = df.where("k IS NOT NULL AND k <> 99").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    made = common.spread_join(df, stats, "k", "n", len(rows), "v")
+    plain = df.join(stats, "k", "left").select("k", "v", "n", "least")
+    assert made.columns == plain.columns and key(map(tuple, made.collect())) == key(map(tuple, plain.collect()))
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 700
+
+
+def test_settled_tables_can_be_discarded(spark):
+    import os
+
+    kept, gone = common.settle(spark.range(5)), common.settle(spark.range(5))
+    common.discard(gone)
+    assert kept.count() == 5 and not os.path.exists(gone.settled_at.removeprefix("file:")) and os.path.exists(kept.settled_at.removeprefix("file:"))
+
+
 # all ----------------------------------------------------------------------------------------------------------------
 
 

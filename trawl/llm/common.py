@@ -80,14 +80,14 @@ HOT_ROWS, HOT_KEYS = 256, 20_000
 def spread_join(rows: DataFrame, stats: DataFrame, key: str, size: str, total: int, by: str) -> DataFrame:
     """rows with the other columns of stats (one row for each key; `size` says how many of `rows` have it, `total` how
     many rows there are at least). The stats of hot keys, HOT_KEYS at most, are sent to the rows, and these are dealt
-    by the column `by` too; the rest meet by a shuffle. So no task gets all rows of a hot key."""
+    by the column `by` too, as are rows without a key; the rest meet by a shuffle. So no task gets all rows of a hot key."""
     limit = max(HOT_ROWS, total // HOT_KEYS)
     others = [c for c in stats.columns if c != key]
     hot = stats.where(F.col(size) > limit).select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in others))
     # always 0, but not a constant, which the optimiser would take out of the keys of the join
     zero = F.pmod(F.xxhash64(key), F.lit(1))
     cold = stats.where(F.col(size) <= limit).select(F.col(key).alias("_cold"), *(F.col(c).alias(f"_cold_{c}") for c in others), zero.alias("_zero"))
-    held = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), zero).otherwise(F.xxhash64(by)))
+    held = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), zero).otherwise(F.xxhash64(by)))
     held = held.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_zero")), "left")
     return held.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in others))
 

@@ -43,7 +43,7 @@ MEMBERS, SHINGLES = 1000, 4_000_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Keys of large buckets that are told apart at most, by a sketch of frequent items with room for so many.
-TOP_KEYS, TRACKED = 2000, 16_384
+TOP_KEYS, TRACKED, MERGED = 2000, 16_384, 256
 
 _rng = np.random.default_rng(20240501)
 _FLIP = _rng.integers(0, 2**64, POSITIONS, np.uint64)
@@ -152,7 +152,9 @@ def _hub_pairs(classes: DataFrame) -> DataFrame:
     """Pairs (a, b): every class of a bucket with the least one. A bucket of many members is cut into parts of about
     BLOCK; each member is paired with its part's least one, and those with the bucket's."""
     keys = _keys(classes)
-    top = keys.agg(F.expr(f"approx_top_k(key, {TOP_KEYS}, {TRACKED})").alias("top")).select(F.inline("top"))
+    # sketches of tasks are merged in MERGED groups, then these
+    part = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("top"))
+    top = part.agg(F.expr(f"approx_top_k_combine(top, {TRACKED})").alias("top")).select(F.inline(F.expr(f"approx_top_k_estimate(top, {TOP_KEYS})")))
     top = top.where(F.col("count") > HOT_ROWS).select(F.col("item").alias("hot"), F.ceil(F.col("count") / BLOCK).alias("parts"))
     held = keys.join(F.broadcast(top), F.col("key") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("parts")), F.lit(0).cast("long")))
     hub = F.min("cls").over(Window.partitionBy("key", "part"))
