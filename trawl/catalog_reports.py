@@ -345,7 +345,7 @@ def _add_exact_lines(name: str, condition: str, text: str) -> None:
 
 _add_lines("grep_other_escapes", "contains(line, 'The ')", r"\T\h\e\ ")
 _add_lines("grep_word_class", "regexp_matches(line, '[\\pL\\pM\\p{Nd}_]{16}')", r"\w{16}")
-_add_exact_lines("grep_not_word_class", "regexp_matches(line, '[^\\pL\\pM\\p{Nd}_]{3}')", r"\W{3}")
+_add_lines("grep_not_word_class", "regexp_matches(line, '[^\\pL\\pM\\p{Nd}_]{3}')", r"[\W--[\n]]{3}")
 _add_lines("grep_space_class", "regexp_matches(line, ',[ \\t] *[A-Z]')", r",\s+[A-Z]")
 _add_lines("grep_not_space_class", "regexp_matches(line, '[^ \\t]{18}')", r"\S{18}")
 _add_lines("grep_shorthand_in_class", "regexp_matches(line, '[0-9.@]{4}')", r"[\d\.@]{4}")
