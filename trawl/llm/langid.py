@@ -30,7 +30,7 @@ LEAST = 3
 #: What an occurrence that wasn't seen counts.
 UNSEEN = 0.2
 #: Words that a task keeps the scores of, and bytes of these; scores that are summed at once.
-TABLE_ROWS, TABLE_BYTES, SUMMED = 300_000, 64 << 20, 4_000_000
+TABLE_ROWS, TABLE_BYTES, SUMMED = 150_000, 32 << 20, 2_000_000
 KEPT_CHARS = 64
 
 
