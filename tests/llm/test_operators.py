@@ -408,6 +408,36 @@ def test_html_pages(spark, sf_dir):
         assert got[r["page_id"]] == " ".join(filter(None, parts))
 
 
+@pytest.mark.parametrize("tag", ["div", "div class=content", "section"])
+def test_pages_without_article(spark, sf_dir, tag):
+    """The tag paths alone find the same text."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        other = r["html"].replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+        assert "article" not in other.lower() or "<article" not in other
+        assert html.main_text(other) == html.main_text(r["html"])
+
+
+def test_names_only_lower_a_ratio():
+    assert html.main_text(f"<body><div class='story share-price-report'><h1>T</h1><p>{LONG_PART}</p></div></body>") == f"T {LONG_PART.strip()}"
+    assert html.main_text(f"<article><h1>T</h1><p>{LONG_PART}</p><p class=search>Search me, here.</p></article>") == f"T {LONG_PART}Search me, here."
+    assert html.main_text(f"<article><p>{LONG_PART}</p><section class='user-responses'><p>Great, post. So good.</p></section></article>") == LONG_PART.strip()
+
+
+HOSTILE = {
+    "tags without end": "<a " * 350_000, "deep": "<div>" * 100_000 + "x", "deep with text": "<div>x" * 50_000, "open quotes": "<a \"><a '>" * 100_000, "quotes that hold ends": '<a ">"' * 150_000, "declarations": "<!" * 400_000,
+    "names": "<div class=ad>" * 50_000 + "x", "parts of lists": "<div>" * 50_000 + "<dd>x</dd>" * 50_000, "ends of nothing": "<div>" * 50_000 + "</x>" * 100_000, "signs": "<" * 500_000, "comments": "<!--" * 200_000, "paragraphs": "<x>" * 50_000 + "<p>x" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    html.main_text(HOSTILE[name])
+    assert time.process_time() - began < 5
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x</p>", "t"), (1, None, None, "t")], "page_id long, url string, html string, text string")
     assert key(map(tuple, html.extract(df).collect())) == key([(1, None, "", 0), (None, "u", "x", 1), (1, None, "", 0)])
