@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from trawl import catalog
 from trawl.operators import exact, lines, paths, transform
 from trawl.functions.pattern import compile_pattern
 from trawl.plans.options import UsageError, parse, with_config
@@ -143,6 +144,27 @@ def test_sort_by_time(search, tmp_path):
         assert search({}, *argv, "-l", "idle", "@").text == want
 
 
+@pytest.fixture
+def placed(spark, tmp_path):
+    """Ids of pages (page_id, url) by their places in a query, from a table in files of three rows."""
+
+    def run(name, rows):
+        at = tmp_path / f"pages_{len(list(tmp_path.iterdir()))}"
+        parts = [spark.createDataFrame(rows[k : k + 3], "page_id long, url string").coalesce(1) for k in range(0, len(rows), 3)]
+        for part in parts:
+            part.withColumn("html", F.lit("tion")).write.mode("append").parquet(str(at / "pages.parquet"))
+        found = catalog.QUERIES[name](spark, str(at)).collect()
+        assert sorted(r.place for r in found) == list(range(len(rows)))
+        return [r.path for r in sorted(found, key=lambda r: r.place)]
+
+    return run
+
+
+def test_equal_paths_by_id(placed):
+    rows = [(k, "ab"[k % 2]) for k in (9, 4, 1, 8, 7, 2, 3, 6, 5, 0)]
+    assert placed("grep_sort_order", rows) == placed("grep_sort_order", rows[::-1]) == [1, 3, 5, 7, 9, 0, 2, 4, 6, 8]
+
+
 def test_symlinks(search, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/f.txt").write_bytes(b"x")

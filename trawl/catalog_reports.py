@@ -445,7 +445,7 @@ def _add_order(name: str, order: str, argv: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = _table(spark, sf_dir, "pages").select(F.lit(0).alias("root_ix"), F.col("page_id").alias("id"), F.col("url").alias("path"), (F.col("page_id") * 7919 % 101).cast("long").alias("mtime_ns"), (F.col("page_id") * 104729 % 97).cast("long").alias("atime_ns"), F.col("html"))
         found = files.where(F.contains("html", F.lit("tion"))).drop("html")
-        return search.numbered(parse(argv), found).select(F.col("id").alias("path"), "place")
+        return search.numbered(parse(argv), found, "id").select(F.col("id").alias("path"), "place")
 
 
 _add_order("grep_sort_order", "url DESC", ["--sortr", "path", "x"])

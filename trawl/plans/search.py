@@ -47,15 +47,18 @@ def selected(o: Options, listed: DataFrame) -> DataFrame:
     return listed.where(keep | F.col("warning").isNotNull())
 
 
-def ordered(o: Options, df: DataFrame) -> DataFrame:
+def ordered(o: Options, df: DataFrame, *ties: str) -> DataFrame:
+    """df in the order of the output; ties: columns that decide, upwards in either direction, between files of one root,
+    time and path, which a table may have."""
     keys = {"none": ["path"], "path": ["path"], "modified": ["mtime_ns", "path"], "accessed": ["atime_ns", "path"]}[o.sort]
-    return df.orderBy("root_ix", *((F.col(k).desc() if o.reverse else F.col(k)) for k in keys))
+    return df.orderBy("root_ix", *((F.col(k).desc() if o.reverse else F.col(k)) for k in keys), *ties)
 
 
-def numbered(o: Options, found: DataFrame) -> DataFrame:
+def numbered(o: Options, found: DataFrame, *ties: str) -> DataFrame:
     """found with `place`, its number (from 0) in the order of the output, so that executors can write it: ranges are
-    sorted side by side, and only their sizes are put together."""
-    sorted_ = ordered(o, found).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    sorted side by side, and only their sizes are put together. Without ties (as for `ordered`) that tell all rows
+    apart, places of equal files may differ between reruns."""
+    sorted_ = ordered(o, found, *ties).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     starts = sizes.select(F.col("_part").alias("_p"), "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     return sorted_.join(starts, F.col("_part") == F.col("_p")).withColumn("place", F.col("_row") - F.col("_first") + F.col("_start")).drop("_part", "_row", "_p", "_first", "_start")
