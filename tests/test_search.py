@@ -165,6 +165,11 @@ def test_equal_paths_by_id(placed):
     assert placed("grep_sort_order", rows) == placed("grep_sort_order", rows[::-1]) == [1, 3, 5, 7, 9, 0, 2, 4, 6, 8]
 
 
+def test_equal_times_of_access_by_id(placed):
+    rows = [(97 * k + k % 2, "a") for k in (6, 1, 5, 0, 7, 3, 2, 4)]
+    assert placed("grep_sort_accessed", rows) == placed("grep_sort_accessed", rows[::-1]) == [98, 292, 486, 680, 0, 194, 388, 582]
+
+
 def test_symlinks(search, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/f.txt").write_bytes(b"x")
