@@ -170,6 +170,21 @@ def test_equal_times_of_access_by_id(placed):
     assert placed("grep_sort_accessed", rows) == placed("grep_sort_accessed", rows[::-1]) == [98, 292, 486, 680, 0, 194, 388, 582]
 
 
+def test_equal_times_of_change_by_id(placed):
+    rows = [(101 * k + k % 2, "a") for k in (6, 1, 5, 0, 7, 3, 2, 4)]
+    assert placed("grep_sort_modified", rows) == placed("grep_sort_modified", rows[::-1]) == [0, 202, 404, 606, 102, 304, 506, 708]
+
+
+def test_nulls_are_last_as_in_sql(placed):
+    import duckdb
+
+    rows = [(0, None), (101, "b"), (202, "a"), (None, "c"), (3, ""), (1, "d")]  # no ties, which the SQL leaves open
+    values = ", ".join(f"({'NULL' if i is None else i}, {'NULL' if u is None else repr(u)}, 'tion')" for i, u in rows)
+    for name in ("grep_sort_modified", "grep_sort_accessed", "grep_sort_order"):
+        found = duckdb.sql(catalog.ORACLES[name].replace("FROM pages", f"FROM (VALUES {values}) pages(page_id, url, html)")).fetchall()
+        assert placed(name, rows) == [p for p, _ in sorted(found, key=lambda r: r[1])]
+
+
 def test_symlinks(search, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/f.txt").write_bytes(b"x")

@@ -49,9 +49,9 @@ def selected(o: Options, listed: DataFrame) -> DataFrame:
 
 def ordered(o: Options, df: DataFrame, *ties: str) -> DataFrame:
     """df in the order of the output; ties: columns that decide, upwards in either direction, between files of one root,
-    time and path, which a table may have."""
+    time and path, which a table may have. Nulls come last in either direction."""
     keys = {"none": ["path"], "path": ["path"], "modified": ["mtime_ns", "path"], "accessed": ["atime_ns", "path"]}[o.sort]
-    return df.orderBy("root_ix", *((F.col(k).desc() if o.reverse else F.col(k)) for k in keys), *ties)
+    return df.orderBy("root_ix", *((F.col(k).desc_nulls_last() if o.reverse else F.col(k).asc_nulls_last()) for k in keys), *(F.col(k).asc_nulls_last() for k in ties))
 
 
 def numbered(o: Options, found: DataFrame, *ties: str) -> DataFrame:
