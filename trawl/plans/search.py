@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -57,11 +58,14 @@ def ordered(o: Options, df: DataFrame, *ties: str) -> DataFrame:
 def numbered(o: Options, found: DataFrame, *ties: str) -> DataFrame:
     """found with `place`, its number (from 0) in the order of the output, so that executors can write it: ranges are
     sorted side by side, and only their sizes are put together. Without ties (as for `ordered`) that tell all rows
-    apart, places of equal files may differ between reruns."""
-    sorted_ = ordered(o, found, *ties).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    apart, places of equal files may differ between reruns. Each call keeps its rows (on executors' disks, until the
+    session's cache is cleared) for itself, as Spark would give those of an earlier call on the same paths, also where
+    the files have changed since."""
+    sorted_ = ordered(o, found, *ties).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    sorted_ = sorted_.withColumn("_call", F.lit(uuid.uuid4().hex)).persist(StorageLevel.DISK_ONLY)
     sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     starts = sizes.select(F.col("_part").alias("_p"), "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return sorted_.join(starts, F.col("_part") == F.col("_p")).withColumn("place", F.col("_row") - F.col("_first") + F.col("_start")).drop("_part", "_row", "_p", "_first", "_start")
+    return sorted_.join(starts, F.col("_part") == F.col("_p")).withColumn("place", F.col("_row") - F.col("_first") + F.col("_start")).drop("_part", "_row", "_call", "_p", "_first", "_start")
 
 
 def _searched_natively(o: Options, always: bool) -> Column:
